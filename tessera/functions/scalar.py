@@ -26,3 +26,14 @@ def safe_ratio(num: Column, den: Column) -> Column:
 def safe_pct(num: Column, den: Column) -> Column:
     """100*num/den rounded to 2 dp, 0 when den is 0."""
     return round4(safe_ratio(num * F.lit(100.0), den), 2)
+
+
+def stable_round(c: Column, digits: int = 4, guard: int = 9) -> Column:
+    """Round an aggregate to ``digits`` dp after snapping it to ``guard`` dp.
+
+    Sums and moments depend on the order rows arrive in, so two engines (or
+    two runs) can differ in the last ulp. When the exact result sits on a
+    decimal tie (common for statistics of 4-dp inputs) that ulp decides the
+    rounding; snapping to 9 dp first removes it.
+    """
+    return round4(round4(c, guard), digits)

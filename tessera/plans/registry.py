@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import oracle_trace, trace_queries
+from tessera.plans import oracle_series, oracle_trace, series_queries, trace_queries
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,11 @@ def queries() -> dict[str, QueryFn]:
         "parse_stats": trace_queries.parse_stats,
         "run_globals": trace_queries.run_globals,
         "entropy_delta": trace_queries.entropy_delta,
+        "normalize": series_queries.normalize,
+        "interpolate": series_queries.interpolate,
+        "nearest": series_queries.nearest,
+        "fill": series_queries.fill,
+        "sliding_summary": series_queries.sliding_summary_q,
     }
     return q
 
@@ -26,4 +31,5 @@ def queries() -> dict[str, QueryFn]:
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(oracle_trace.ORACLE)
+    out.update(oracle_series.ORACLE)
     return {k: v for k, v in out.items() if k in queries()}

@@ -111,3 +111,16 @@ def events_proc_timeline(events: DataFrame) -> DataFrame:
                     events_ts_seconds().alias("epoch"),
                     F.floor(F.col("value") * 1024).cast("bigint").alias("vmrss_kb"),
                     F.col("event_id").alias("row_order")))
+
+
+def events_user_labels(events: DataFrame) -> DataFrame:
+    """P12 stand-in labels per user: 'ransomware' when a user has more error
+    (-> unlink/rename/exec) events than view (-> read) events, else 'goodware'.
+    ``sample_name`` mirrors the per-sample label of the multiclass task."""
+    g = events.groupBy(F.col("user_id").alias("sample_id")).agg(
+        F.count_if(F.col("event_type") == "error").alias("_e"),
+        F.count_if(F.col("event_type") == "view").alias("_v"))
+    return g.select("sample_id",
+                    F.when(F.col("_e") > F.col("_v"), F.lit("ransomware"))
+                    .otherwise(F.lit("goodware")).alias("binary_label"),
+                    F.format_string("user_%d", F.col("sample_id")).alias("sample_name"))
