@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import oracle_series, oracle_trace, series_queries, trace_queries
+from tessera.plans import (oracle_profile, oracle_series, oracle_trace, profile_queries,
+                           series_queries, trace_queries)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,10 @@ def queries() -> dict[str, QueryFn]:
         "nearest": series_queries.nearest,
         "fill": series_queries.fill,
         "sliding_summary": series_queries.sliding_summary_q,
+        "profile_numeric": profile_queries.profile_numeric,
+        "profile_categorical": profile_queries.profile_categorical,
+        "profile_overview": profile_queries.profile_overview,
+        "nullity": profile_queries.nullity,
     }
     return q
 
@@ -32,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(oracle_trace.ORACLE)
     out.update(oracle_series.ORACLE)
+    out.update(oracle_profile.ORACLE)
     return {k: v for k, v in out.items() if k in queries()}
