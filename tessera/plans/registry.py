@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import (oracle_profile, oracle_series, oracle_trace, profile_queries,
-                           series_queries, trace_queries)
+from tessera.plans import (oracle_profile, oracle_quality, oracle_series, oracle_trace,
+                           profile_queries, quality_queries, series_queries, trace_queries)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,16 @@ def queries() -> dict[str, QueryFn]:
         "profile_categorical": profile_queries.profile_categorical,
         "profile_overview": profile_queries.profile_overview,
         "nullity": profile_queries.nullity,
+        "byte_entropy": quality_queries.byte_entropy,
+        "snapshot_rollup": quality_queries.snapshot_rollup,
+        "fingerprint_dupes": quality_queries.fingerprint_dupes,
+        "confusion": quality_queries.confusion,
+        "class_report": quality_queries.class_report,
+        "report_averages": quality_queries.report_averages,
+        "sample_votes": quality_queries.sample_votes,
+        "mean_prob_vote": quality_queries.mean_prob_vote,
+        "label_purity": quality_queries.label_purity,
+        "fold_stats": quality_queries.fold_stats,
     }
     return q
 
@@ -38,4 +48,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_trace.ORACLE)
     out.update(oracle_series.ORACLE)
     out.update(oracle_profile.ORACLE)
+    out.update(oracle_quality.ORACLE)
     return {k: v for k, v in out.items() if k in queries()}
