@@ -41,37 +41,69 @@ def in_set(c: Column, values: Sequence[str]) -> Column:
     return c.isin(list(values))
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a CPU-heavy narrow stage over the cluster's cores.
+
+    Text inputs of a few large files can arrive in fewer partitions than
+    cores; parsing is per line, so a round-robin repartition pays for
+    itself. On a cluster reading many splits this is a no-op.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def parse_trace_lines(lines: DataFrame, line_col: str = "line",
-                      target_extensions: Sequence[str] = S.TARGET_EXTENSIONS) -> DataFrame:
+                      target_extensions: Sequence[str] = S.TARGET_EXTENSIONS,
+                      spread: bool = True) -> DataFrame:
     """Parse raw trace lines, drop non-matching ones.
 
     Adds ``pid, clock, ts_s, syscall, ret, path, ip, port, mmap_len`` and the
     line-level predicates the feature aggregates need (``is_random``,
-    ``futex_wait``, ``target_ext``). The raw line is dropped afterwards so
-    the shuffle carries only compact columns.
+    ``futex_wait``, ``target_ext``); the raw line is not carried further.
+
+    The line grammar is matched once (group 0 = the line head) and the head
+    is split on whitespace; IP/port are read only on ``connect`` lines and
+    the mapping length only on ``mmap`` lines, where the features use them.
     """
+    if spread:
+        lines = ensure_parallelism(lines)
     line = F.col(line_col)
-    pid_s = F.regexp_extract(line, S.LINE_PATTERN, 1)
-    clock = F.regexp_extract(line, S.LINE_PATTERN, 2)
-    epoch = F.regexp_extract(line, S.LINE_PATTERN, 3)
-    name = F.regexp_extract(line, S.LINE_PATTERN, 4)
-    path = F.regexp_extract(line, S.PATH_PATTERN, 1)
+    head = F.regexp_extract(line, S.LINE_PATTERN, 0)
+    toks = F.split(F.trim(F.col("_head")), r"\s+")
+    n = F.size(toks)
+    pid_s = F.when(n == 3, toks.getItem(0))
+    ts_tok = F.when(n == 3, toks.getItem(1)).otherwise(toks.getItem(0))
+    name_tok = F.element_at(toks, -1)
+    syscall = F.expr("substring(_name_tok, 1, length(_name_tok) - 1)")
+    quoted = F.regexp_extract(line, S.PATH_PATTERN, 0)
+    sc = F.col("syscall")
     out = (
-        lines.filter(line.rlike(S.LINE_PATTERN))
-        .withColumn("pid", _blank_to_null(pid_s).try_cast("bigint"))
-        .withColumn("clock", F.when(clock != "", F.lit("wall")).otherwise(F.lit("epoch")))
-        .withColumn("ts_s", F.when(clock != "", clock_to_seconds(clock))
-                    .otherwise(epoch.cast("double")))
-        .withColumn("syscall", name)
+        lines.withColumn("_head", head)
+        .filter(F.col("_head") != "")
+        .withColumn("_name_tok", name_tok)
+        .withColumn("_ts_tok", ts_tok)
+        .withColumn("pid", pid_s.try_cast("bigint"))
+        .withColumn("clock", F.when(F.col("_ts_tok").contains(":"), F.lit("wall"))
+                    .otherwise(F.lit("epoch")))
+        .withColumn("ts_s", F.when(F.col("_ts_tok").contains(":"), clock_to_seconds(F.col("_ts_tok")))
+                    .otherwise(F.col("_ts_tok").cast("double")))
+        .withColumn("syscall", syscall)
         .withColumn("ret", safe_int(F.regexp_extract(line, S.RET_PATTERN, 1)))
-        .withColumn("path", F.when(line.rlike(S.PATH_PATTERN), path))
-        .withColumn("ip", _blank_to_null(F.regexp_extract(line, S.IP_PATTERN, 1)))
-        .withColumn("port", _blank_to_null(F.regexp_extract(line, S.PORT_PATTERN, 1)))
-        .withColumn("mmap_len", _blank_to_null(F.regexp_extract(line, S.MMAP_SIZE_PATTERN, 1))
-                    .try_cast("bigint"))
+        .withColumn("_q", quoted)
+        .withColumn("path", F.when(F.col("_q") != "",
+                                   F.expr("substring(_q, 2, length(_q) - 2)")))
+        .withColumn("ip", F.when(sc == "connect",
+                                 _blank_to_null(F.regexp_extract(line, S.IP_PATTERN, 1))))
+        .withColumn("port", F.when(sc == "connect",
+                                   _blank_to_null(F.regexp_extract(line, S.PORT_PATTERN, 1))))
+        .withColumn("mmap_len", F.when(sc == "mmap", _blank_to_null(
+            F.regexp_extract(line, S.MMAP_SIZE_PATTERN, 1)).try_cast("bigint")))
         .withColumn("is_random", line.contains("random"))
         .withColumn("futex_wait", line.contains("FUTEX_WAIT"))
         .withColumn("target_ext", F.coalesce(ends_with_any(F.col("path"), target_extensions),
                                              F.lit(False)))
+        .drop("_head", "_name_tok", "_ts_tok", "_q")
     )
     return out

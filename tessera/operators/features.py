@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera import schemas as S
 from tessera.functions.trace import in_set, round4, safe_ratio
 from tessera.operators.joins import (MAX_BROADCAST_ROWS, asof_first_match, bounded_broadcast,
-                                     dedupe_timeline)
+                                     dedupe_timeline, fits_broadcast, maybe_broadcast)
 
 DEFAULT_MAX_WINDOWS = 50_000_000  # T21 guard: one stray timestamp must not explode the fill
 
@@ -72,10 +72,16 @@ def run_globals(parsed: DataFrame, keys: Sequence[str], window_s: float = S.WIND
 
 
 def window_ids(parsed: DataFrame, glob: DataFrame, keys: Sequence[str],
-               window_s: float = S.WINDOW_SECONDS,
+               window_s: float = S.WINDOW_SECONDS, broadcast_ok: bool | None = None,
                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Tumbling window id anchored at the run's first line (truncation, T4)."""
-    g = bounded_broadcast(glob.select(*keys, "first_ts", "max_wid"), max_broadcast_rows)
+    """Tumbling window id anchored at the run's first line (truncation, T4).
+
+    ``broadcast_ok`` is the caller's size check of ``glob``; when None the
+    run table is counted here.
+    """
+    g = glob.select(*keys, "first_ts", "max_wid")
+    g = bounded_broadcast(g, max_broadcast_rows) if broadcast_ok is None \
+        else maybe_broadcast(g, broadcast_ok)
     return (parsed.join(g, list(keys))
             .withColumn("wid", ((F.col("ts_s") - F.col("first_ts")) / F.lit(window_s))
                         .cast("bigint")))
@@ -86,8 +92,11 @@ def window_counters(with_wid: DataFrame, keys: Sequence[str],
     """A3-A21, A23 unscaled, one row per non-empty window (wid >= 0)."""
     keys = list(keys)
     ret = F.col("ret")
-    lvl1 = (with_wid.filter(F.col("wid") >= 0)
-            .groupBy(*keys, "wid", "syscall").agg(
+    # level 0 adds the connect IP to the key, so distinct IPs become a plain
+    # count at level 1 (no distinct-aggregate rewrite); every level is a
+    # map-side-combined hash aggregate and IP is null on all other lines
+    lvl0 = (with_wid.filter(F.col("wid") >= 0)
+            .groupBy(*keys, "wid", "syscall", "ip").agg(
                 F.count(F.lit(1)).alias("n"),
                 F.sum(F.when(ret > 0, ret)).alias("pos_sum"),
                 F.count_if(ret > 0).alias("pos_n"),
@@ -95,10 +104,12 @@ def window_counters(with_wid: DataFrame, keys: Sequence[str],
                 F.count_if(F.col("target_ext")).alias("ext_n"),
                 F.sum("mmap_len").alias("mmap_sum"),
                 F.count_if(F.col("futex_wait")).alias("futex_n"),
-                F.count_distinct("ip").alias("ip_n"),
                 F.count_if(F.col("port") == S.DNS_PORT).alias("dns_n"),
                 F.count_if(ret == -1).alias("fail_n"),
             ))
+    summed = ["n", "pos_sum", "pos_n", "rnd_sum", "ext_n", "mmap_sum", "futex_n", "dns_n", "fail_n"]
+    lvl1 = lvl0.groupBy(*keys, "wid", "syscall").agg(
+        *[F.sum(c).alias(c) for c in summed], F.count("ip").alias("ip_n"))
     sc = F.col("syscall")
 
     def total(cond: Column, col: str) -> Column:
@@ -212,10 +223,10 @@ def trace_features(parsed: DataFrame, keys: Sequence[str], window_s: float = S.W
     k = _scale_for(window_s, scale)
     parsed = parsed.select(*keys, "line_order", "ts_s", "syscall", "ret", "target_ext",
                            "is_random", "mmap_len", "futex_wait", "ip", "port")
-    glob = run_globals(parsed, keys, window_s, sets, max_windows)
-    glob = bounded_broadcast(glob, max_broadcast_rows)
-    counters = window_counters(window_ids(parsed, glob, keys, window_s, max_broadcast_rows),
-                               keys, sets)
+    # one size check for every per-run table (they all have one row per run)
+    glob, small = fits_broadcast(run_globals(parsed, keys, window_s, sets, max_windows),
+                                 max_broadcast_rows)
+    counters = window_counters(window_ids(parsed, glob, keys, window_s, small), keys, sets)
     dense = gap_fill(counters, glob.select(*keys, "first_ts", "max_wid"), keys)
     burst = rolling_pop_std(dense, keys, "bytes_written", 5, "io_burstiness_std")
     dense = dense.join(burst, keys + ["wid"])
@@ -225,7 +236,7 @@ def trace_features(parsed: DataFrame, keys: Sequence[str], window_s: float = S.W
         per_run = per_run.join(entropy_delta(entropy_tl, keys), keys, "left")
     else:
         per_run = per_run.withColumn("file_entropy_delta", F.lit(0.0))
-    dense = dense.join(bounded_broadcast(per_run, max_broadcast_rows), keys)
+    dense = dense.join(maybe_broadcast(per_run, small), keys)
 
     c = F.col
     zero = F.lit(0).cast("bigint")

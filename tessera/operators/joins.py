@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 2_000_000
 
 
+def fits_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Persist ``small`` and report whether its row count is within ``max_rows``."""
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    return small, small.count() <= max_rows
+
+
+def maybe_broadcast(df: DataFrame, ok: bool) -> DataFrame:
+    return F.broadcast(df) if ok else df
+
+
 def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``small`` only after proving its row count is below ``max_rows``.
 
@@ -54,9 +64,10 @@ def asof_first_match(left: DataFrame, right: DataFrame, keys: Sequence[str],
              .withColumn("_bucket", F.floor(F.col("_rt") / F.lit(tol)).cast("bigint")))
     matched = (probes.join(cands, keys + ["_bucket"])
                .filter(F.abs(F.col("_rt") - F.col("_lt")) < F.lit(tol)))
-    best = F.min_by(F.struct(*[F.col(v) for v in values]), F.struct("_ord", "_rt"))
-    return (matched.groupBy(*keys, *left_id).agg(best.alias("_best"))
-            .select(*keys, *left_id, *[F.col("_best")[v].alias(v) for v in values]))
+    # one scalar min_by per value keeps the aggregate hash-based (fixed-width
+    # buffers); ``order`` must be unique within a timeline (dedupe first)
+    return matched.groupBy(*keys, *left_id).agg(
+        *[F.min_by(F.col(v), F.col("_ord")).alias(v) for v in values])
 
 
 def dedupe_timeline(tl: DataFrame, keys: Sequence[str], epoch: str, order: str,
@@ -67,7 +78,6 @@ def dedupe_timeline(tl: DataFrame, keys: Sequence[str], epoch: str, order: str,
     order (dict insertion order), ``'epoch'`` orders by the epoch itself.
     """
     keys = list(keys)
-    agg = [F.max_by(F.struct(*values), F.col(order)).alias("_v")]
+    agg = [F.max_by(F.col(v), F.col(order)).alias(v) for v in values]
     agg.append((F.min(order) if position == "first" else F.max(order)).alias(order))
-    out = tl.groupBy(*keys, epoch).agg(*agg)
-    return out.select(*keys, epoch, order, *[F.col("_v")[v].alias(v) for v in values])
+    return tl.groupBy(*keys, epoch).agg(*agg).select(*keys, epoch, order, *values)

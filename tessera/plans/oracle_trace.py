@@ -90,9 +90,12 @@ parsed0 AS (
     regexp_extract(line, '{S.LINE_PATTERN}', 4) AS syscall,
     regexp_extract(line, '{S.RET_PATTERN}', 1) AS ret_s,
     CASE WHEN regexp_matches(line, '{S.PATH_PATTERN}') THEN regexp_extract(line, '{S.PATH_PATTERN}', 1) END AS path,
-    NULLIF(regexp_extract(line, '{S.IP_PATTERN}', 1), '') AS ip,
-    NULLIF(regexp_extract(line, '{S.PORT_PATTERN}', 1), '') AS port,
-    TRY_CAST(NULLIF(regexp_extract(line, '{S.MMAP_SIZE_PATTERN}', 1), '') AS BIGINT) AS mmap_len
+    CASE WHEN regexp_extract(line, '{S.LINE_PATTERN}', 4) = 'connect'
+         THEN NULLIF(regexp_extract(line, '{S.IP_PATTERN}', 1), '') END AS ip,
+    CASE WHEN regexp_extract(line, '{S.LINE_PATTERN}', 4) = 'connect'
+         THEN NULLIF(regexp_extract(line, '{S.PORT_PATTERN}', 1), '') END AS port,
+    CASE WHEN regexp_extract(line, '{S.LINE_PATTERN}', 4) = 'mmap'
+         THEN TRY_CAST(NULLIF(regexp_extract(line, '{S.MMAP_SIZE_PATTERN}', 1), '') AS BIGINT) END AS mmap_len
   FROM lines
   WHERE regexp_matches(line, '{S.LINE_PATTERN}')
 ),

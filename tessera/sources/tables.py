@@ -75,8 +75,9 @@ def events_as_trace_lines(events: DataFrame) -> DataFrame:
     positional ``format_string``; no rows are dropped. Signup events with
     k % 4 == 3 become ``<... connect resumed>`` lines the parser must drop.
     """
+    from tessera.functions.trace import ensure_parallelism
     k = _k()
-    ev = (events.withColumn("k", k)
+    ev = (ensure_parallelism(events).withColumn("k", k)
           .withColumn("v", F.col("k") % 4)
           .withColumn("sub", F.when((F.col("event_type") == "error") & (F.col("v") == 3)
                                     & (F.col("k") % 8 == 3), F.lit(1)).otherwise(F.lit(0)))
