@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import (oracle_profile, oracle_quality, oracle_series, oracle_trace,
-                           profile_queries, quality_queries, series_queries, trace_queries)
+from tessera.plans import (oracle_prep, oracle_profile, oracle_quality, oracle_series,
+                           oracle_trace, prep_queries, profile_queries, quality_queries,
+                           series_queries, trace_queries)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,14 @@ def queries() -> dict[str, QueryFn]:
         "mean_prob_vote": quality_queries.mean_prob_vote,
         "label_purity": quality_queries.label_purity,
         "fold_stats": quality_queries.fold_stats,
+        "minmax": prep_queries.minmax,
+        "standardize": prep_queries.standardize,
+        "median_impute": prep_queries.median_impute,
+        "class_weights": prep_queries.class_weights,
+        "label_encode": prep_queries.label_encode,
+        "gamma_rules": prep_queries.gamma_rules,
+        "centroid_kernel": prep_queries.centroid_kernel,
+        "asof_views": prep_queries.asof_views,
     }
     return q
 
@@ -49,4 +58,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_series.ORACLE)
     out.update(oracle_profile.ORACLE)
     out.update(oracle_quality.ORACLE)
+    out.update(oracle_prep.ORACLE)
     return {k: v for k, v in out.items() if k in queries()}
