@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans import (oracle_prep, oracle_profile, oracle_quality, oracle_series,
-                           oracle_trace, prep_queries, profile_queries, quality_queries,
+                           oracle_trace, model_queries, prep_queries, profile_queries, quality_queries,
                            series_queries, trace_queries)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def queries() -> dict[str, QueryFn]:
         "gamma_rules": prep_queries.gamma_rules,
         "centroid_kernel": prep_queries.centroid_kernel,
         "asof_views": prep_queries.asof_views,
+        # iterative model fits: rows-only check (no SQL oracle)
+        "tree_importance": model_queries.tree_importance,
+        "forest_cv": model_queries.forest_cv,
+        "rff_svm_folds": model_queries.rff_svm_folds,
+        "calibrated_votes": model_queries.calibrated_votes,
     }
     return q
 
