@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +72,81 @@ def run_globals(parsed: DataFrame, keys: Sequence[str], window_s: float = S.WIND
     )
 
 
+def run_anchor(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pass 1: the first line's timestamp per run in file order.
+
+    Only ``ts_s`` and ``line_order`` are read, so Catalyst prunes every other
+    parser expression from this scan: one regex per line.
+    """
+    return parsed.groupBy(*keys).agg(F.min_by("ts_s", "line_order").alias("first_ts"))
+
+
+def _guard(max_wid: Column, max_windows: int) -> Column:
+    return F.when(max_wid > F.lit(max_windows),
+                  F.raise_error(F.concat(F.lit("gap fill would emit more than "),
+                                         F.lit(str(max_windows)),
+                                         F.lit(" windows for one run (mixed clocks?)")))
+                  ).otherwise(max_wid).cast("bigint")
+
+
+def window_partials(with_wid: DataFrame, keys: Sequence[str],
+                    sets: Mapping[str, Sequence[str]] = S.SYSCALL_SETS) -> DataFrame:
+    """Level 0: partial aggregates per (run, wid, syscall, ip), negative windows included.
+
+    Besides the window counters it carries the pieces of the run-level
+    scalars, so no second pass over the lines is needed: OLS sums of the
+    positive writes (x = ts - first_ts) and the earliest encryption event.
+    The connect IP is part of the key, so distinct IPs become a plain count
+    at the next level; IP is null on every other line.
+    """
+    keys = list(keys)
+    sc, ret, order = F.col("syscall"), F.col("ret"), F.col("line_order")
+    write_evt = in_set(sc, sets["write"]) & (ret > 0)
+    enc_evt = (write_evt & F.col("target_ext")) | (in_set(sc, sets["open"]) & F.col("target_ext"))
+    x = F.col("ts_s") - F.col("first_ts")
+    y = ret.cast("double")
+    return with_wid.groupBy(*keys, "wid", "syscall", "ip").agg(
+        F.max("first_ts").alias("first_ts"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(ret > 0, ret)).alias("pos_sum"),
+        F.count_if(ret > 0).alias("pos_n"),
+        F.sum(F.when((ret > 0) & F.col("is_random"), ret)).alias("rnd_sum"),
+        F.count_if(F.col("target_ext")).alias("ext_n"),
+        F.sum("mmap_len").alias("mmap_sum"),
+        F.count_if(F.col("futex_wait")).alias("futex_n"),
+        F.count_if(F.col("port") == S.DNS_PORT).alias("dns_n"),
+        F.count_if(ret == -1).alias("fail_n"),
+        F.count_if(write_evt).alias("w_n"),
+        F.sum(F.when(write_evt, x)).alias("w_sx"),
+        F.sum(F.when(write_evt, y)).alias("w_sy"),
+        F.sum(F.when(write_evt, x * y)).alias("w_sxy"),
+        F.sum(F.when(write_evt, x * x)).alias("w_sxx"),
+        F.min(F.when(enc_evt, order)).alias("e_ord"),
+        F.min_by(F.col("ts_s"), F.when(enc_evt, order)).alias("e_ts"),
+    )
+
+
+def run_scalars(lvl0: DataFrame, keys: Sequence[str],
+                max_windows: int = DEFAULT_MAX_WINDOWS) -> DataFrame:
+    """Per run from level 0: max window id (guarded, T21), time to first
+    encryption (T8), OLS slope of write bytes on time (A30)."""
+    g = lvl0.groupBy(*keys).agg(
+        F.max("first_ts").alias("first_ts"), F.max("wid").alias("max_wid"),
+        F.sum("w_n").alias("n"), F.sum("w_sx").alias("sx"), F.sum("w_sy").alias("sy"),
+        F.sum("w_sxy").alias("sxy"), F.sum("w_sxx").alias("sxx"),
+        F.min_by("e_ts", "e_ord").alias("first_enc_ts"))
+    n = F.col("n").cast("double")
+    den = n * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.when((F.col("n") >= 2) & (den != 0),
+                   (n * F.col("sxy") - F.col("sx") * F.col("sy")) / den).otherwise(F.lit(0.0))
+    fe = F.col("first_enc_ts")
+    return g.select(
+        *keys, "first_ts", _guard(F.col("max_wid"), max_windows).alias("max_wid"),
+        F.when(fe.isNull() | (fe == 0.0), F.lit(0.0)).otherwise(fe - F.col("first_ts"))
+        .alias("time_to_first_encryption_s"),
+        slope.alias("encryption_slope"))
+
+
 def window_ids(parsed: DataFrame, glob: DataFrame, keys: Sequence[str],
                window_s: float = S.WINDOW_SECONDS, broadcast_ok: bool | None = None,
                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -88,10 +164,17 @@ def window_ids(parsed: DataFrame, glob: DataFrame, keys: Sequence[str],
 
 
 def window_counters(with_wid: DataFrame, keys: Sequence[str],
-                    sets: Mapping[str, Sequence[str]] = S.SYSCALL_SETS) -> DataFrame:
-    """A3-A21, A23 unscaled, one row per non-empty window (wid >= 0)."""
+                    sets: Mapping[str, Sequence[str]] = S.SYSCALL_SETS,
+                    lvl0: DataFrame | None = None) -> DataFrame:
+    """A3-A21, A23 unscaled, one row per non-empty window (wid >= 0).
+
+    Pass ``lvl0`` (from ``window_partials``) to reuse an existing level-0
+    aggregate instead of grouping ``with_wid`` again.
+    """
     keys = list(keys)
     ret = F.col("ret")
+    if lvl0 is not None:
+        return _counters_from_lvl0(lvl0.filter(F.col("wid") >= 0), keys, sets)
     # level 0 adds the connect IP to the key, so distinct IPs become a plain
     # count at level 1 (no distinct-aggregate rewrite); every level is a
     # map-side-combined hash aggregate and IP is null on all other lines
@@ -107,6 +190,11 @@ def window_counters(with_wid: DataFrame, keys: Sequence[str],
                 F.count_if(F.col("port") == S.DNS_PORT).alias("dns_n"),
                 F.count_if(ret == -1).alias("fail_n"),
             ))
+    return _counters_from_lvl0(lvl0, keys, sets)
+
+
+def _counters_from_lvl0(lvl0: DataFrame, keys: Sequence[str],
+                        sets: Mapping[str, Sequence[str]]) -> DataFrame:
     summed = ["n", "pos_sum", "pos_n", "rnd_sum", "ext_n", "mmap_sum", "futex_n", "dns_n", "fail_n"]
     lvl1 = lvl0.groupBy(*keys, "wid", "syscall").agg(
         *[F.sum(c).alias(c) for c in summed], F.count("ip").alias("ip_n"))
@@ -223,10 +311,18 @@ def trace_features(parsed: DataFrame, keys: Sequence[str], window_s: float = S.W
     k = _scale_for(window_s, scale)
     parsed = parsed.select(*keys, "line_order", "ts_s", "syscall", "ret", "target_ext",
                            "is_random", "mmap_len", "futex_wait", "ip", "port")
-    # one size check for every per-run table (they all have one row per run)
-    glob, small = fits_broadcast(run_globals(parsed, keys, window_s, sets, max_windows),
-                                 max_broadcast_rows)
-    counters = window_counters(window_ids(parsed, glob, keys, window_s, small), keys, sets)
+    # pass 1: first line per run (one regex per line after pruning), size-checked
+    # once; every other per-run table has the same row count
+    anchor, small = fits_broadcast(run_anchor(parsed, keys), max_broadcast_rows)
+    with_wid = (parsed.join(maybe_broadcast(anchor, small), keys)
+                .withColumn("wid", ((F.col("ts_s") - F.col("first_ts")) / F.lit(window_s))
+                            .cast("bigint")))
+    # pass 2: one partial aggregate feeds the counters and the run scalars
+    lvl0 = window_partials(with_wid, keys, sets)
+    # one row per run, read by four branches below: keep it (memory+disk; a
+    # lost executor recomputes it from lineage)
+    glob = run_scalars(lvl0, keys, max_windows).persist(StorageLevel.MEMORY_AND_DISK)
+    counters = window_counters(None, keys, sets, lvl0=lvl0)
     dense = gap_fill(counters, glob.select(*keys, "first_ts", "max_wid"), keys)
     burst = rolling_pop_std(dense, keys, "bytes_written", 5, "io_burstiness_std")
     dense = dense.join(burst, keys + ["wid"])
