@@ -53,6 +53,8 @@ def queries() -> dict[str, QueryFn]:
         "forest_cv": model_queries.forest_cv,
         "rff_svm_folds": model_queries.rff_svm_folds,
         "calibrated_votes": model_queries.calibrated_votes,
+        "kernel_alignment": model_queries.kernel_alignment,
+        "linear_svm_importance": model_queries.linear_svm_importance,
     }
     return q
 
