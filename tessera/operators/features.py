@@ -305,7 +305,8 @@ def trace_features(parsed: DataFrame, keys: Sequence[str], window_s: float = S.W
                    proc_tl: DataFrame | None = None, tolerance: float = S.ASOF_TOLERANCE_S,
                    sets: Mapping[str, Sequence[str]] = S.SYSCALL_SETS,
                    max_windows: int = DEFAULT_MAX_WINDOWS,
-                   max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                   max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                   checkpoint: bool = True) -> DataFrame:
     """The 31-column feature table, one row per dense window per run."""
     keys = list(keys)
     k = _scale_for(window_s, scale)
@@ -319,9 +320,15 @@ def trace_features(parsed: DataFrame, keys: Sequence[str], window_s: float = S.W
                             .cast("bigint")))
     # pass 2: one partial aggregate feeds the counters and the run scalars
     lvl0 = window_partials(with_wid, keys, sets)
-    # one row per run, read by four branches below: keep it (memory+disk; a
-    # lost executor recomputes it from lineage)
-    glob = run_scalars(lvl0, keys, max_windows).persist(StorageLevel.MEMORY_AND_DISK)
+    if checkpoint:
+        # cut the lineage at the compact level-0 aggregate: the text scan and
+        # the parser are not replayed by the many branches below (nor after a
+        # lost executor), and the downstream plans stay small
+        from tessera.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(lvl0.sparkSession)
+        lvl0 = lvl0.checkpoint(eager=True)
+        anchor.unpersist()  # only lvl0 needed it
+    glob = run_scalars(lvl0, keys, max_windows)
     counters = window_counters(None, keys, sets, lvl0=lvl0)
     dense = gap_fill(counters, glob.select(*keys, "first_ts", "max_wid"), keys)
     burst = rolling_pop_std(dense, keys, "bytes_written", 5, "io_burstiness_std")
