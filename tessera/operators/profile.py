@@ -150,10 +150,7 @@ def profile_categorical(df: DataFrame, group: Sequence[str], cols: Sequence[str]
         F.sum(F.when(nn, F.col("n"))).alias("non_null"),
         F.sum(F.when(~nn, F.col("n"))).alias("nulls"),
         F.count_if(nn).alias("cardinality"))
-    w = Window.partitionBy(*group, "column_name").orderBy(F.desc("n"), F.asc("value"))
-    top = (vc.filter(nn).withColumn("rank", F.row_number().over(w))
-           .filter(F.col("rank") <= top_n)
-           .select(*group, "column_name", "rank", "value", F.col("n").alias("count")))
+    top = top_values(vc.filter(nn), group + ["column_name"], top_n)
     out = per_col.join(top, group + ["column_name"], "left")
     return out.select(
         *group, "column_name", "rows",
@@ -165,6 +162,24 @@ def profile_categorical(df: DataFrame, group: Sequence[str], cols: Sequence[str]
         safe_pct(F.col("count"), F.col("rows")).alias("pct"))
 
 
+def top_values(vc: DataFrame, keys: Sequence[str], top_n: int, buckets: int = 64) -> DataFrame:
+    """K2: exact top-n ``value`` by count desc, value asc, per ``keys``.
+
+    Two levels so that no task ranks a whole high-cardinality column: the
+    top-n inside each of ``buckets`` hash buckets of the value, then the top-n
+    of those <= buckets*top_n survivors. Any global top-n row is in its
+    bucket's top-n, so the result is exact.
+    """
+    keys = list(keys)
+    order = [F.desc("n"), F.asc("value")]
+    b = vc.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(buckets)))
+    w1 = Window.partitionBy(*keys, "_b").orderBy(*order)
+    cand = b.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= top_n)
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return (cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= top_n)
+            .select(*keys, "rank", "value", F.col("n").alias("count")))
+
+
 def profile_overview(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """D1 + U4: rows, columns, duplicate rows (all columns, nulls equal), cells,
     nulls, numeric and categorical column counts per group."""

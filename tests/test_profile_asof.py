@@ -52,3 +52,14 @@ def test_asof_first_match_rules(spark):
     m = {r.wid: r.v for r in asof_first_match(left, tl, ["run"], ["wid"], "t", "epoch", ["v"],
                                                "epoch", 0.5).collect()}
     assert m == {0: 5.0}  # earliest epoch wins even though 100.3 is closer
+
+
+def test_top_values_two_level_exact(spark):
+    import random
+    rng = random.Random(1)
+    vals = [f"v{rng.randint(0, 400)}" for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in vals], "c string")
+    got = [(r.value, r["count"]) for r in PR.profile_categorical(df, [], ["c"]).orderBy("rank").collect()]
+    from collections import Counter
+    exp = sorted(Counter(vals).items(), key=lambda kv: (-kv[1], kv[0]))[:10]
+    assert got == exp

@@ -90,3 +90,25 @@ def test_stream_matches_batch(spark, scratch):
     exp = {(r.sample, r.window.start): (r.lines, r.bytes_read, r.bytes_written, r.file_deletions,
                                         r.urandom_bytes) for r in batch.collect()}
     assert got == exp and len(got) == 3
+
+
+def test_snapshot_scan_and_rollup(spark, scratch):
+    from tessera.operators.content import read_snapshot_files, snapshot_rollup
+    import math
+    d = os.path.join(scratch, "snap", "sub")
+    os.makedirs(d)
+    open(os.path.join(d, "a.bin"), "wb").write(bytes(range(256)) * 4)
+    open(os.path.join(scratch, "snap", "b.txt"), "wb").write(b"aaaa")
+    files = {os.path.basename(r.path): r for r in read_snapshot_files(spark, os.path.join(scratch, "snap")).collect()}
+    assert files["a.bin"].entropy == pytest.approx(8.0) and files["b.txt"].entropy == 0.0
+    assert files["a.bin"].size == 1024
+    roll = snapshot_rollup(read_snapshot_files(spark, os.path.join(scratch, "snap")).withColumn("snap", F.lit(1)),
+                           ["snap"]).first()
+    assert roll.file_count == 2 and roll.total_bytes == 1028 and roll.mean_entropy == pytest.approx(4.0)
+
+
+def test_sample_subset_is_bounded(spark):
+    from tessera.operators.ml import sample_subset
+    df = spark.range(1000)
+    s = sample_subset(df, 128).collect()
+    assert len(s) == 128 and len({r.id for r in s}) == 128
