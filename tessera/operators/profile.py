@@ -59,6 +59,53 @@ def value_counts(df: DataFrame, group: Sequence[str], cols: Sequence[str],
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+def exact_percentiles(vc: DataFrame, keys: Sequence[str], percentiles: Sequence[int],
+                      partitions: int | None = None) -> DataFrame:
+    """Exact linear percentiles (numpy 'linear') from a value-count table
+    ``(keys, value, n)`` without holding a whole column in one task.
+
+    1. range-partition by (keys, value): each partition holds a contiguous,
+       sorted slice of every column;
+    2. running count inside each (partition, keys) slice -- bounded by the
+       partition size;
+    3. per-slice totals (#partitions x #columns rows) give each slice's rank
+       offset;
+    4. the rows whose rank span covers floor(h) or ceil(h), h = (N-1)*p, are
+       found by an equi-join on ``keys`` with the few target ranks.
+    Returns ``keys, p, value`` (null when a column has no values).
+    """
+    keys = list(keys)
+    spark = vc.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = vc.filter(F.col("value").isNotNull())
+    ranged = (v.repartitionByRange(parts, *keys, "value")
+              .withColumn("_pid", F.spark_partition_id()))
+    wl = Window.partitionBy("_pid", *keys).orderBy("value") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_cum", F.sum("n").over(wl))
+    tot = local.groupBy("_pid", *keys).agg(F.sum("n").alias("_t"))
+    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.withColumn("_off", F.coalesce(F.sum("_t").over(wo), F.lit(0))) \
+        .withColumn("_N", F.sum("_t").over(Window.partitionBy(*keys)))
+    ranked = local.join(offs, ["_pid", *keys]).withColumn("_end", F.col("_off") + F.col("_cum"))
+    ranked = ranked.withColumn("_start", F.col("_end") - F.col("n"))  # ranks [_start, _end)
+    tgt = (offs.select(*keys, "_N").distinct()
+           .withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in percentiles])))
+           .withColumn("_h", (F.col("_N") - 1).cast("double") * (F.col("p") / F.lit(100.0)))
+           .withColumn("_lo", F.floor("_h").cast("bigint"))
+           .withColumn("_hi", F.ceil("_h").cast("bigint")))
+    hit = ranked.select(*keys, "value", "_start", "_end").join(tgt, keys) \
+        .filter(((F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_end")))
+                | ((F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_end"))))
+    res = hit.groupBy(*keys, "p", "_h", "_lo").agg(
+        F.max_by("value", F.when((F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_end")),
+                                 F.lit(1))).alias("_vlo"),
+        F.max_by("value", F.when((F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_end")),
+                                 F.lit(1))).alias("_vhi"))
+    frac = F.col("_h") - F.col("_lo").cast("double")
+    return res.select(*keys, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("value"))
+
+
 def profile_numeric(df: DataFrame, group: Sequence[str], cols: Sequence[str] | None = None,
                     percentiles: Sequence[int] = S.PROFILE_PERCENTILES, approx: bool = False,
                     digits: int = 4) -> DataFrame:
@@ -79,20 +126,24 @@ def profile_numeric(df: DataFrame, group: Sequence[str], cols: Sequence[str] | N
     vc = value_counts(df, group, cols)
     fr = [p / 100.0 for p in percentiles]
     nn = F.col("value").isNotNull()
+    aggs_pct = []
     if approx:
-        pct = F.percentile_approx(F.when(nn, F.col("value")), fr, 100000)
-    else:
-        pct = F.percentile(F.when(nn, F.col("value")), F.array(*[F.lit(p) for p in fr]),
-                           F.col("n"))
+        aggs_pct = [F.percentile_approx(F.when(nn, F.col("value")), fr, 100000).alias("_pct")]
     counts = vc.groupBy(*group, "column_name").agg(
         F.sum(F.when(nn, F.col("n"))).alias("non_null"),
         F.sum(F.when(~nn, F.col("n"))).alias("nulls"),
         F.sum(F.when(F.col("value") == 0, F.col("n"))).alias("zeros"),
         F.sum(F.when(F.col("value") < 0, F.col("n"))).alias("negatives"),
         F.count_if(nn).alias("distinct_values"),
-        pct.alias("_pct"),
+        *aggs_pct,
         F.min(F.when(nn, F.col("value"))).alias("_any"),
     )
+    if not approx:
+        pc = exact_percentiles(vc, group + ["column_name"], percentiles)
+        pw = pc.groupBy(*group, "column_name").agg(
+            F.array(*[F.max(F.when(F.col("p") == float(q), F.col("value"))) for q in percentiles])
+            .alias("_pct"))
+        counts = counts.join(pw, group + ["column_name"], "left")
     out = moments.join(counts, group + ["column_name"])
     n = F.coalesce(F.col("non_null"), F.lit(0)).cast("double")
     ratio = (n - 1) / n

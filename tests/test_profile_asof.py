@@ -63,3 +63,17 @@ def test_top_values_two_level_exact(spark):
     from collections import Counter
     exp = sorted(Counter(vals).items(), key=lambda kv: (-kv[1], kv[0]))[:10]
     assert got == exp
+
+
+def test_exact_percentiles_distributed_with_hot_value(spark):
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([np.full(3000, 7.0), rng.normal(0, 10, 6000).round(2)])
+    rows = [("a" if i % 2 else "b", float(v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    vc = PR.value_counts(df, ["g"], ["x"])
+    got = {(r.g, r.p): r.value for r in PR.exact_percentiles(vc, ["g", "column_name"],
+                                                             [0, 1, 25, 50, 99, 100], 16).collect()}
+    for g in ("a", "b"):
+        xs = np.array([v for k, v in rows if k == g])
+        for p in (0, 1, 25, 50, 99, 100):
+            assert got[(g, float(p))] == pytest.approx(float(np.percentile(xs, p)), abs=1e-9)
