@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import configure
+
 from tessera.plans import (oracle_prep, oracle_profile, oracle_quality, oracle_series,
                            oracle_trace, model_queries, prep_queries, profile_queries, quality_queries,
                            series_queries, trace_queries)
@@ -13,7 +15,22 @@ from tessera.plans import (oracle_prep, oracle_profile, oracle_quality, oracle_s
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def _configured(fn: QueryFn) -> QueryFn:
+    """Apply the session defaults the operators rely on (UTC, AQE, codegen
+    width, a checkpoint folder only when none is set) before building."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
+    return {k: _configured(v) for k, v in _queries().items()}
+
+
+def _queries() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {
         "trace_parse": trace_queries.trace_parse,
         "trace_features": trace_queries.trace_features,
@@ -66,4 +83,4 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_profile.ORACLE)
     out.update(oracle_quality.ORACLE)
     out.update(oracle_prep.ORACLE)
-    return {k: v for k, v in out.items() if k in queries()}
+    return {k: v for k, v in out.items() if k in _queries()}

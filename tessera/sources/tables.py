@@ -81,7 +81,7 @@ def events_as_trace_lines(events: DataFrame) -> DataFrame:
           .withColumn("v", F.col("k") % 4)
           .withColumn("sub", F.when((F.col("event_type") == "error") & (F.col("v") == 3)
                                     & (F.col("k") % 8 == 3), F.lit(1)).otherwise(F.lit(0)))
-          .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))))
+          .withColumn("_us", events_ts_micros()))
     tpl = F.broadcast(event_templates(events.sparkSession))
     ts_text = F.format_string("%d.%06d", F.expr("_us div 1000000"), F.expr("_us % 1000000"))
     line = F.expr("format_string(fmt, k, CAST(floor(value) AS BIGINT) || '', k * 4096, k % 4, "
@@ -92,8 +92,14 @@ def events_as_trace_lines(events: DataFrame) -> DataFrame:
                     line.alias("line")))
 
 
+def events_ts_micros() -> Column:
+    """Microseconds since the epoch of the zone-less ``ts`` (independent of the
+    session time zone)."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
+
 def events_ts_seconds() -> Column:
-    return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return events_ts_micros() / 1e6
 
 
 def events_entropy_timeline(events: DataFrame) -> DataFrame:

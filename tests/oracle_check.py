@@ -45,9 +45,16 @@ def rows_of(cols, records):
 
 
 def main():
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    only = set(sys.argv[2:])
-    spark = build_session()
+    args = [a for a in sys.argv[1:] if a != "--plain"]
+    sf = args[0] if args else "/root/testdata/sf0.01"
+    only = set(args[1:])
+    if "--plain" in sys.argv:  # a bare session, as an outside driver would create
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]")
+                 .config("spark.sql.shuffle.partitions", "8").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session()
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
