@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import schemas as S
-from tessera.functions.scalar import round4, safe_ratio  # noqa: F401  (re-exported)
 
 
 def _blank_to_null(c: Column) -> Column:

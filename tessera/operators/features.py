@@ -21,12 +21,12 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import schemas as S
-from tessera.functions.trace import in_set, round4, safe_ratio
+from tessera.functions.scalar import round4, safe_ratio
+from tessera.functions.trace import in_set
 from tessera.operators.joins import (MAX_BROADCAST_ROWS, asof_first_match, bounded_broadcast,
                                      dedupe_timeline, fits_broadcast, maybe_broadcast)
 
