@@ -375,7 +375,8 @@ def trace_features(parsed: DataFrame, keys: Sequence[str], window_s: float = S.W
         "mean_file_entropy": round4(F.coalesce(c("mean_entropy"), F.lit(0.0))),
         "time_to_first_encryption_s": round4(c("time_to_first_encryption_s")),
         "encryption_slope": round4(c("encryption_slope")),
-        "file_entropy_delta": round4(c("file_entropy_delta")),
+        # runs without (enough) entropy samples get 0.0, as in the reference
+        "file_entropy_delta": round4(F.coalesce(c("file_entropy_delta"), F.lit(0.0))),
     }
     return dense.select(*keys, *[cols[name].alias(name) for name in S.FEATURE_COLUMNS])
 
