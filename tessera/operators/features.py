@@ -238,12 +238,31 @@ COUNTERS = ("bytes_read", "bytes_written", "file_deletions", "file_renames", "ta
             "child_processes", "execve_calls", "dir_ops")
 
 
+GAP_FILL_CHUNK = 1 << 16  # window ids generated per task slice
+
+
+def dense_window_ids(glob: DataFrame, keys: Sequence[str],
+                     chunk: int = GAP_FILL_CHUNK) -> DataFrame:
+    """0..max_wid per run, generated in slices of ``chunk`` ids.
+
+    The slice starts are exploded first and hash-partitioned, so the ids of
+    one very long run (a third of all data) are produced by many tasks
+    rather than by the single task that holds the run's row.
+    """
+    keys = list(keys)
+    starts = glob.select(*keys, "first_ts", "max_wid",
+                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("max_wid"),
+                                              F.lit(chunk).cast("bigint"))).alias("_c"))
+    starts = starts.repartition(*[F.col(k) for k in keys], F.col("_c"))
+    end = F.least(F.col("_c") + F.lit(chunk - 1), F.col("max_wid"))
+    return starts.select(*keys, "first_ts", "max_wid",
+                         F.explode(F.sequence(F.col("_c"), end)).alias("wid"))
+
+
 def gap_fill(counters: DataFrame, glob: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per window id 0..max_wid per run, zeros for empty windows."""
     keys = list(keys)
-    dense = glob.select(*keys, "first_ts", "max_wid",
-                        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("max_wid")))
-                        .alias("wid"))
+    dense = dense_window_ids(glob, keys)
     filled = dense.join(counters, keys + ["wid"], "left")
     fills = {c: 0 for c in COUNTERS}
     fills["syscall_entropy"] = 0.0

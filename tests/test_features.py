@@ -114,3 +114,9 @@ def test_gap_fill_guard(spark):
     p = parse_trace_lines(df, spread=False)
     with pytest.raises(Exception):
         FT.trace_features(p, ["sample_id"], max_windows=1000).collect()
+
+
+def test_dense_ids_in_slices(spark):
+    glob = spark.createDataFrame([(1, 0.0, 10), (2, 0.0, 0)], "sample_id long, first_ts double, max_wid long")
+    ids = sorted((r.sample_id, r.wid) for r in FT.dense_window_ids(glob, ["sample_id"], chunk=3).collect())
+    assert ids == [(1, w) for w in range(11)] + [(2, 0)]
