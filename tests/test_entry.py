@@ -11,3 +11,12 @@ def test_entry_runs(spark):
 def test_oracle_keys_are_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
     assert len(E.queries()) >= 37
+
+
+def test_every_oracle_query_runs(spark):
+    """Smoke: every query with an oracle builds and runs on the smallest tables."""
+    from tests.conftest import SF_SMALL
+    q = E.queries()
+    for name in E.oracle_sql():
+        df = q[name](spark, SF_SMALL)
+        assert df.count() >= 0, name
