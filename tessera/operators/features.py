@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tessera import schemas as S
 from tessera.functions.scalar import round4, safe_ratio
 from tessera.functions.trace import in_set
-from tessera.operators.joins import (MAX_BROADCAST_ROWS, asof_first_match, bounded_broadcast,
-                                     dedupe_timeline, fits_broadcast, maybe_broadcast)
+from tessera.operators.joins import (MAX_BROADCAST_ROWS, asof_first_match, dedupe_timeline,
+                                     fits_broadcast, maybe_broadcast)
 
 DEFAULT_MAX_WINDOWS = 50_000_000  # T21 guard: one stray timestamp must not explode the fill
 
@@ -152,12 +152,13 @@ def window_ids(parsed: DataFrame, glob: DataFrame, keys: Sequence[str],
                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Tumbling window id anchored at the run's first line (truncation, T4).
 
-    ``broadcast_ok`` is the caller's size check of ``glob``; when None the
-    run table is counted here.
+    ``broadcast_ok`` is the caller's size check of ``glob``; when None no hint
+    is given and AQE broadcasts the run table only if its materialized size is
+    under the adaptive threshold.
     """
     g = glob.select(*keys, "first_ts", "max_wid")
-    g = bounded_broadcast(g, max_broadcast_rows) if broadcast_ok is None \
-        else maybe_broadcast(g, broadcast_ok)
+    if broadcast_ok is not None:
+        g = maybe_broadcast(g, broadcast_ok)
     return (parsed.join(g, list(keys))
             .withColumn("wid", ((F.col("ts_s") - F.col("first_ts")) / F.lit(window_s))
                         .cast("bigint")))

@@ -112,3 +112,28 @@ def test_sample_subset_is_bounded(spark):
     df = spark.range(1000)
     s = sample_subset(df, 128).collect()
     assert len(s) == 128 and len({r.id for r in s}) == 128
+
+
+def test_stream_drops_rows_behind_watermark(spark, scratch):
+    src = os.path.join(scratch, "late", "s1")
+    os.makedirs(src)
+    q = None
+    try:
+        stream = SC.stream_trace_dir(spark, os.path.join(scratch, "late") + "/*", max_files_per_trigger=1)
+        q = (SC.window_counters(stream, ["sample"], window="1 second", watermark="2 seconds")
+             .writeStream.outputMode("append").format("memory").queryName("x1_late")
+             .option("checkpointLocation", os.path.join(scratch, "ck2")).start())
+        batches = [['1 100.5 read(3, "a", 2) = 2'],
+                   ['1 200.5 read(3, "a", 4) = 4'],      # moves the watermark to 198.5
+                   ['1 100.7 read(3, "a", 8) = 8'],      # late: window [100, 101) is closed
+                   ['1 300.5 read(3, "a", 1) = 1']]      # closes [200, 201)
+        for i, b in enumerate(batches):
+            with open(os.path.join(src, f"part{i}.log"), "w") as f:
+                f.write("\n".join(b) + "\n")
+            q.processAllAvailable()
+        got = {int(r.window.start.timestamp()): r.bytes_read
+               for r in spark.sql("SELECT * FROM x1_late").collect()}
+        assert got[100] == 2 and got[200] == 4  # the late 8 bytes were dropped
+    finally:
+        if q is not None:
+            q.stop()
