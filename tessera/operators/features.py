@@ -175,7 +175,7 @@ def window_counters(with_wid: DataFrame, keys: Sequence[str],
     keys = list(keys)
     ret = F.col("ret")
     if lvl0 is not None:
-        return _counters_from_lvl0(lvl0.filter(F.col("wid") >= 0), keys, sets)
+        return counters_from_level0(lvl0.filter(F.col("wid") >= 0), keys, sets)
     # level 0 adds the connect IP to the key, so distinct IPs become a plain
     # count at level 1 (no distinct-aggregate rewrite); every level is a
     # map-side-combined hash aggregate and IP is null on all other lines
@@ -191,10 +191,10 @@ def window_counters(with_wid: DataFrame, keys: Sequence[str],
                 F.count_if(F.col("port") == S.DNS_PORT).alias("dns_n"),
                 F.count_if(ret == -1).alias("fail_n"),
             ))
-    return _counters_from_lvl0(lvl0, keys, sets)
+    return counters_from_level0(lvl0, keys, sets)
 
 
-def _counters_from_lvl0(lvl0: DataFrame, keys: Sequence[str],
+def counters_from_level0(lvl0: DataFrame, keys: Sequence[str],
                         sets: Mapping[str, Sequence[str]]) -> DataFrame:
     summed = ["n", "pos_sum", "pos_n", "rnd_sum", "ext_n", "mmap_sum", "futex_n", "dns_n", "fail_n"]
     lvl1 = lvl0.groupBy(*keys, "wid", "syscall").agg(

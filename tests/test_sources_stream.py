@@ -137,3 +137,41 @@ def test_stream_drops_rows_behind_watermark(spark, scratch):
     finally:
         if q is not None:
             q.stop()
+
+
+def test_anchored_stream_matches_batch(spark, scratch):
+    from tessera.operators import features as FT
+    from tessera.streaming import anchored as AN
+    from tests.test_features import RUN
+    src = os.path.join(scratch, "anch", "s1")
+    os.makedirs(src)
+    # the run arrives in three files, in order; positions continue across files
+    chunks = [RUN[0:3], RUN[3:7], RUN[7:]]
+    q = None
+    try:
+        raw = (spark.readStream.format("text").option("maxFilesPerTrigger", 1)
+               .load(os.path.join(scratch, "anch") + "/*"))
+        from tessera.functions.trace import parse_trace_lines
+        lines = raw.select(F.lit("s1").alias("sample"), F.col("value").alias("line"))
+        parsed = parse_trace_lines(lines, spread=False)
+        q = (AN.anchored_partials(parsed, "sample", window_s=0.1).writeStream
+             .outputMode("append").format("memory").queryName("x1_anchor")
+             .option("checkpointLocation", os.path.join(scratch, "ck3")).start())
+        for i, ch in enumerate(chunks):
+            with open(os.path.join(src, f"part{i}.log"), "w") as f:
+                f.write("\n".join(ch) + "\n")
+            q.processAllAvailable()
+        got = {(r.wid): r for r in AN.counters_from_partials(spark.table("x1_anchor"), ["sample"]).collect()}
+    finally:
+        if q is not None:
+            q.stop()
+    batch_src = spark.createDataFrame([("s1", i, ln) for i, ln in enumerate(RUN)],
+                                      "sample string, line_order long, line string")
+    p = parse_trace_lines(batch_src, spread=False)
+    anchor = FT.run_anchor(p, ["sample"])
+    ww = FT.window_ids(p, anchor.withColumn("max_wid", F.lit(0)), ["sample"], 0.1)
+    exp = {r.wid: r for r in FT.window_counters(ww, ["sample"]).collect()}
+    assert set(got) == set(exp)
+    for w in exp:
+        for c in FT.COUNTERS:
+            assert got[w][c] == exp[w][c], (w, c)
