@@ -241,7 +241,12 @@ def profile_overview(df: DataFrame, group: Sequence[str]) -> DataFrame:
     null_total = sum((F.col(c).isNull().cast("bigint") for c in cols), F.lit(0).cast("bigint"))
     base = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"),
                                   F.sum(null_total).alias("total_nulls"))
-    dup = (df.groupBy(*group, *cols).agg(F.count(F.lit(1)).alias("_k"))
+    # rows are compared through a SHA-256 digest of their JSON form (nulls are
+    # omitted by name, so null patterns stay distinct): the shuffle carries 32
+    # bytes per row instead of whole rows (long texts), and a hot duplicate
+    # group is a partial count, not a list
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256)
+    dup = (df.groupBy(*group, digest.alias("_d")).agg(F.count(F.lit(1)).alias("_k"))
            .groupBy(*group).agg(F.sum(F.col("_k") - 1).alias("duplicate_rows")))
     out = base.join(dup, group)
     ncols = len(cols) + len(group)
