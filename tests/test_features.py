@@ -5,7 +5,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessera import schemas as S
 from tessera.functions.trace import parse_trace_lines

@@ -94,7 +94,6 @@ def test_stream_matches_batch(spark, scratch):
 
 def test_snapshot_scan_and_rollup(spark, scratch):
     from tessera.operators.content import read_snapshot_files, snapshot_rollup
-    import math
     d = os.path.join(scratch, "snap", "sub")
     os.makedirs(d)
     open(os.path.join(d, "a.bin"), "wb").write(bytes(range(256)) * 4)
