@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tessera import schemas as S
 from tessera.functions.scalar import round4, safe_ratio
 from tessera.functions.trace import in_set
-from tessera.operators.joins import (MAX_BROADCAST_ROWS, asof_first_match, dedupe_timeline,
-                                     fits_broadcast, maybe_broadcast)
+from tessera.operators.joins import (MAX_BROADCAST_ROWS, asof_first_match_many,
+                                     dedupe_timeline, fits_broadcast, maybe_broadcast)
 
 DEFAULT_MAX_WINDOWS = 50_000_000  # T21 guard: one stray timestamp must not explode the fill
 
@@ -303,20 +303,22 @@ def timeline_lookups(dense: DataFrame, keys: Sequence[str], window_s: float, tol
     out = dense
     probe = dense.select(*keys, "wid",
                          (F.col("first_ts") + F.col("wid") * F.lit(window_s)).alias("w_epoch"))
+    lookups, defaults = [], {}
     if entropy_tl is not None:
         ent = dedupe_timeline(entropy_tl, keys, "epoch", "row_order", ["mean_entropy"], "last")
-        m = asof_first_match(probe, ent, keys, ["wid"], "w_epoch", "epoch", ["mean_entropy"],
-                             "epoch", tolerance)
-        out = out.join(m, keys + ["wid"], "left")
+        lookups.append((ent, "epoch", "epoch", "mean_entropy"))
     else:
-        out = out.withColumn("mean_entropy", F.lit(None).cast("double"))
+        defaults["mean_entropy"] = F.lit(None).cast("double")
     if proc_tl is not None:
         proc = dedupe_timeline(proc_tl, keys, "epoch", "row_order", ["vmrss_kb"], "first")
-        m = asof_first_match(probe, proc, keys, ["wid"], "w_epoch", "epoch", ["vmrss_kb"],
-                             "row_order", tolerance)
-        out = out.join(m, keys + ["wid"], "left")
+        lookups.append((proc, "epoch", "row_order", "vmrss_kb"))
     else:
-        out = out.withColumn("vmrss_kb", F.lit(None).cast("bigint"))
+        defaults["vmrss_kb"] = F.lit(None).cast("bigint")
+    if lookups:
+        m = asof_first_match_many(probe, lookups, keys, ["wid"], "w_epoch", tolerance)
+        out = out.join(m, keys + ["wid"], "left")
+    for c, v in defaults.items():
+        out = out.withColumn(c, v)
     return out
 
 

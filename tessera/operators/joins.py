@@ -70,6 +70,39 @@ def asof_first_match(left: DataFrame, right: DataFrame, keys: Sequence[str],
         *[F.min_by(F.col(v), F.col("_ord")).alias(v) for v in values])
 
 
+def asof_first_match_many(left: DataFrame, timelines: Sequence[tuple], keys: Sequence[str],
+                          left_id: Sequence[str], left_time: str, tolerance: float) -> DataFrame:
+    """J1 + J2 in one pass: several timelines looked up with one probe join.
+
+    ``timelines`` holds ``(df, time_col, order_col, value_col)``; each value
+    comes from its own timeline's first match by its own order. The
+    candidates are unioned with the other timelines' columns null, so each
+    ``min_by`` only sees its own rows (null orderings are skipped): one
+    shuffle of the probes, one aggregate, instead of one of each per timeline.
+    """
+    keys, left_id = list(keys), list(left_id)
+    tol = float(tolerance)
+    lb = F.floor(F.col(left_time) / F.lit(tol)).cast("bigint")
+    probes = left.select(*keys, *left_id, F.col(left_time).alias("_lt"),
+                         F.explode(F.array(lb - 1, lb, lb + 1)).alias("_bucket"))
+    parts = []
+    for i, (df, tcol, ocol, vcol) in enumerate(timelines):
+        cols = [*[F.col(k) for k in keys], F.col(tcol).cast("double").alias("_rt")]
+        for j, (_, _, _, v2) in enumerate(timelines):
+            cols.append((F.col(ocol) if i == j else F.lit(None)).cast("double").alias(f"_o{j}"))
+            cols.append((F.col(v2) if i == j else F.lit(None)).alias(f"_v{j}"))
+        parts.append(df.select(*cols))
+    cands = parts[0]
+    for p in parts[1:]:
+        cands = cands.unionByName(p, allowMissingColumns=False)
+    cands = cands.withColumn("_bucket", F.floor(F.col("_rt") / F.lit(tol)).cast("bigint"))
+    matched = (probes.join(cands, keys + ["_bucket"])
+               .filter(F.abs(F.col("_rt") - F.col("_lt")) < F.lit(tol)))
+    return matched.groupBy(*keys, *left_id).agg(
+        *[F.min_by(F.col(f"_v{j}"), F.col(f"_o{j}")).alias(v)
+          for j, (_, _, _, v) in enumerate(timelines)])
+
+
 def dedupe_timeline(tl: DataFrame, keys: Sequence[str], epoch: str, order: str,
                     values: Sequence[str], position: str = "last") -> DataFrame:
     """S2/S3 duplicate-epoch rule: the last row's values win.
