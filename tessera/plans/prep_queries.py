@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import round4, stable_round
 from tessera.operators import labels as LB
-from tessera.operators.joins import asof_first_match, dedupe_timeline
+from tessera.operators.joins import asof_first_match_many, dedupe_timeline
 from tessera.sources import tables as TB
 
 SCALE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -97,11 +97,12 @@ def asof_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", F.col("ts_s").alias("epoch"), F.col("value"), F.col("event_id").alias("row_order"))
     by_time = dedupe_timeline(views, keys, "epoch", "row_order", ["value"], "last")
     by_pos = dedupe_timeline(views, keys, "epoch", "row_order", ["value"], "first")
-    m1 = asof_first_match(purchases, by_time, keys, ["event_id"], "ts_s", "epoch", ["value"],
-                          "epoch", ASOF_TOLERANCE_S).withColumnRenamed("value", "first_by_time")
-    m2 = asof_first_match(purchases, by_pos, keys, ["event_id"], "ts_s", "epoch", ["value"],
-                          "row_order", ASOF_TOLERANCE_S).withColumnRenamed("value", "first_by_order")
-    out = purchases.join(m1, keys + ["event_id"], "left").join(m2, keys + ["event_id"], "left")
+    by_time = by_time.withColumnRenamed("value", "first_by_time")
+    by_pos = by_pos.withColumnRenamed("value", "first_by_order")
+    m = asof_first_match_many(purchases, [(by_time, "epoch", "epoch", "first_by_time"),
+                                          (by_pos, "epoch", "row_order", "first_by_order")],
+                              keys, ["event_id"], "ts_s", ASOF_TOLERANCE_S)
+    out = purchases.join(m, keys + ["event_id"], "left")
     return out.select("user_id", "event_id",
                       F.coalesce("first_by_time", F.lit(0.0)).alias("first_by_time"),
                       F.coalesce("first_by_order", F.lit(0.0)).alias("first_by_order"))
