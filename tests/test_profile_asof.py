@@ -77,3 +77,16 @@ def test_exact_percentiles_distributed_with_hot_value(spark):
         xs = np.array([v for k, v in rows if k == g])
         for p in (0, 1, 25, 50, 99, 100):
             assert got[(g, float(p))] == pytest.approx(float(np.percentile(xs, p)), abs=1e-9)
+
+
+def test_asof_many_keeps_each_timeline_order(spark):
+    from tessera.operators.joins import asof_first_match_many
+    left = spark.createDataFrame([(1, 0, 100.0), (1, 1, 300.0)], "run long, wid long, t double")
+    ent = spark.createDataFrame([(1, 100.4, 1.0), (1, 99.9, 2.0)], "run long, epoch double, e double")
+    proc = spark.createDataFrame([(1, 99.7, 10, 5), (1, 100.1, 20, 3)],
+                                 "run long, epoch double, m long, pos long")
+    rows = {r.wid: r for r in asof_first_match_many(
+        left, [(ent, "epoch", "epoch", "e"), (proc, "epoch", "pos", "m")],
+        ["run"], ["wid"], "t", 0.5).collect()}
+    assert set(rows) == {0}                       # wid 1 has no sample within 0.5 s
+    assert rows[0].e == 2.0 and rows[0].m == 20   # earliest epoch vs. earliest position
