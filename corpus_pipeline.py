@@ -3,16 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing, secrets
+from tessera.llm import lang_id, packing, secrets, simhash, suffix_dedup
 from tessera.llm.common import materialize, table
 
 
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret spans become a mark; every document stays, its length follows its text."""
-    from pyspark.sql import functions as F
+def sized(docs: DataFrame, given: DataFrame) -> DataFrame:
+    """n_chars follows a changed text; null texts keep what they had."""
+    if "n_chars" not in given.columns:
+        return docs
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast(given.schema["n_chars"].dataType), F.col("n_chars")))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told, unchanged; texts that are null or have no letter go."""
+    return lang_id.keep_identified(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group (four-word shingles, four bits): the one with the smallest id."""
+    return simhash.keep_one(docs)
 
-    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the 400-byte strings that occur more than once."""
+    return sized(suffix_dedup.remove_repeats(docs), docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secret spans replaced by a mark."""
+    return sized(secrets.redact(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +41,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("secret_scan", redact_secrets), ("packing", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("secret_scan", redact_secrets),
+    ("packing", pack),
+]
 
 #: The stages have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
@@ -30,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table, each reading what its predecessor wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bitslice_topk, bpe_monoid, html_lines, lang_id, packing, secrets, simhash, syncmers, token_counts
+from tessera.llm import bitslice_topk, bpe_monoid, html_lines, lang_id, packing, secrets, simhash, suffix_dedup, syncmers, token_counts
 from tessera.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_lines.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_language_id, op2_extract_main_text, op4_token_counts, op5_bpe_round_trip, op6_bitslice_topk, op7_pack_documents,
+    op1_language_id, op2_extract_main_text, op3_suffix_dedup, op4_token_counts, op5_bpe_round_trip, op6_bitslice_topk, op7_pack_documents,
     op8_syncmer_fingerprints, op9_simhash_groups, op10_secret_scan)}
 
 #: DuckDB SQL for the queries that SQL can express.
