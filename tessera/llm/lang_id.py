@@ -99,12 +99,15 @@ class Model:
         raw = np.frombuffer(GAP.join(parts) + GAP, np.uint8)
         sizes = np.array([len(p) for p in parts], np.int64)
         first = np.concatenate([[0], np.cumsum(sizes + len(GAP))[:-1]]).astype(np.int64)
+        # places in gaps belong to no text
+        between = np.repeat(np.tile([False, True], len(parts)), np.stack([sizes, np.full(len(parts), len(GAP))], axis=1).ravel())
         n, total = len(raw) - len(GAP), np.zeros((len(texts), self.weights.shape[1]))
         for begin in range(0, n, BLOCK):
             end = min(n, begin + BLOCK)
             lo, hi = np.searchsorted(first, begin, "right") - 1, np.searchsorted(first, end, "left")
             cuts = np.maximum(first[lo:hi], begin) - begin
             for h in grams(raw, begin, end):
+                h[between[begin:end]] = DIM
                 total[lo:hi] += np.add.reduceat(self.weights[h], cuts, axis=0, dtype=np.float64)
         return total[:, :-1] * (SCALE / np.maximum(1, total[:, -1:])) + self.bias
 
