@@ -58,9 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLE: dict[str, str] = {
     "op6_bitslice_topk": """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS q FROM embeddings
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
 ), s AS (
     SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
     FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
