@@ -21,8 +21,8 @@ def _blank_to_null(c: Column) -> Column:
 def clock_to_seconds(clock: Column) -> Column:
     """``HH:MM:SS.f`` -> seconds of day (double); int hours/minutes, float seconds."""
     parts = F.split(clock, ":")
-    return (parts.getItem(0).cast("bigint") * 3600 + parts.getItem(1).cast("bigint") * 60) \
-        + parts.getItem(2).cast("double")
+    return (parts.getItem(0).try_cast("bigint") * 3600 + parts.getItem(1).try_cast("bigint") * 60) \
+        + parts.getItem(2).try_cast("double")
 
 
 def safe_int(text: Column) -> Column:
@@ -40,22 +40,8 @@ def in_set(c: Column, values: Sequence[str]) -> Column:
     return c.isin(list(values))
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a CPU-heavy narrow stage over the cluster's cores.
-
-    Text inputs of a few large files can arrive in fewer partitions than
-    cores; parsing is per line, so a round-robin repartition pays for
-    itself. On a cluster reading many splits this is a no-op.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def parse_trace_lines(lines: DataFrame, line_col: str = "line",
-                      target_extensions: Sequence[str] = S.TARGET_EXTENSIONS,
-                      spread: bool = True) -> DataFrame:
+                      target_extensions: Sequence[str] = S.TARGET_EXTENSIONS) -> DataFrame:
     """Parse raw trace lines, drop non-matching ones.
 
     Adds ``pid, clock, ts_s, syscall, ret, path, ip, port, mmap_len`` and the
@@ -63,14 +49,13 @@ def parse_trace_lines(lines: DataFrame, line_col: str = "line",
     ``futex_wait``, ``target_ext``); the raw line is not carried further.
 
     The line grammar is matched once (group 0 = the line head) and the head
-    is split on whitespace; IP/port are read only on ``connect`` lines and
-    the mapping length only on ``mmap`` lines, where the features use them.
+    is split on any white space; IP/port are read only on ``connect`` lines
+    and the mapping length only on ``mmap`` lines, where the features use
+    them. A clock out of range gives a null timestamp, never an error.
     """
-    if spread:
-        lines = ensure_parallelism(lines)
     line = F.col(line_col)
     head = F.regexp_extract(line, S.LINE_PATTERN, 0)
-    toks = F.split(F.trim(F.col("_head")), r"\s+")
+    toks = F.split(F.regexp_replace("_head", r"^\s+", ""), r"\s+")
     n = F.size(toks)
     pid_s = F.when(n == 3, toks.getItem(0))
     ts_tok = F.when(n == 3, toks.getItem(1)).otherwise(toks.getItem(0))
@@ -87,7 +72,7 @@ def parse_trace_lines(lines: DataFrame, line_col: str = "line",
         .withColumn("clock", F.when(F.col("_ts_tok").contains(":"), F.lit("wall"))
                     .otherwise(F.lit("epoch")))
         .withColumn("ts_s", F.when(F.col("_ts_tok").contains(":"), clock_to_seconds(F.col("_ts_tok")))
-                    .otherwise(F.col("_ts_tok").cast("double")))
+                    .otherwise(F.col("_ts_tok").try_cast("double")))
         .withColumn("syscall", syscall)
         .withColumn("ret", safe_int(F.regexp_extract(line, S.RET_PATTERN, 1)))
         .withColumn("_q", quoted)

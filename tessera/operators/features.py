@@ -4,7 +4,8 @@ Plan shape (``keys`` = run key, e.g. ``[sample, run]``):
 
 1. per-run globals: one partial+final aggregate over the parsed lines
    (first ts in line order, max ts, first encryption, write slope);
-   size-checked broadcast back to the lines (J4);
+   joined back to the lines (J4) from a written table, which the planner
+   broadcasts only below the session's size threshold;
 2. counters: partial aggregate on (run, wid, syscall), then (run, wid);
    syscall counts per window stay a bounded list for the entropy (A21);
 3. gap fill (J3) by exploding 0..max_wid per run and left-joining;
@@ -27,10 +28,8 @@ from pyspark.sql import functions as F
 from tessera import schemas as S
 from tessera.functions.scalar import round4, safe_ratio
 from tessera.functions.trace import in_set
-from tessera.operators.joins import (MAX_BROADCAST_ROWS, asof_first_match_many,
-                                     dedupe_timeline, fits_broadcast, maybe_broadcast)
-
-DEFAULT_MAX_WINDOWS = 50_000_000  # T21 guard: one stray timestamp must not explode the fill
+from tessera.operators.joins import asof_first_match_many, dedupe_timeline
+from tessera.storage import materialize
 
 
 def _scale_for(window_s: float, scale: float | None) -> float:
@@ -45,31 +44,10 @@ def _scaled(c: Column, scale: float) -> Column:
 
 def run_globals(parsed: DataFrame, keys: Sequence[str], window_s: float = S.WINDOW_SECONDS,
                 sets: Mapping[str, Sequence[str]] = S.SYSCALL_SETS,
-                max_windows: int = DEFAULT_MAX_WINDOWS) -> DataFrame:
+                max_windows: int | None = None) -> DataFrame:
     """Per-run scalars: first_ts (T3), max_wid, first encryption ts (T8), slope."""
-    sc, ret, order = F.col("syscall"), F.col("ret"), F.col("line_order")
-    write_evt = in_set(sc, sets["write"]) & (ret > 0)
-    enc_evt = (write_evt & F.col("target_ext")) | (in_set(sc, sets["open"]) & F.col("target_ext"))
-    g = parsed.groupBy(*keys).agg(
-        F.min_by("ts_s", order).alias("first_ts"),
-        F.max("ts_s").alias("max_ts"),
-        F.min_by("ts_s", F.when(enc_evt, order)).alias("first_enc_ts"),
-        F.regr_slope(F.when(write_evt, ret.cast("double")), F.when(write_evt, F.col("ts_s")))
-        .alias("slope_raw"),
-    )
-    max_wid = ((F.col("max_ts") - F.col("first_ts")) / F.lit(window_s)).cast("bigint")
-    guarded = F.when(max_wid > F.lit(max_windows),
-                     F.raise_error(F.concat(F.lit("gap fill would emit more than "),
-                                            F.lit(str(max_windows)),
-                                            F.lit(" windows for one run (mixed clocks?)")))
-                     ).otherwise(max_wid)
-    fe = F.col("first_enc_ts")
-    return g.select(
-        *keys, "first_ts", guarded.cast("bigint").alias("max_wid"),
-        F.when(fe.isNull() | (fe == 0.0), F.lit(0.0)).otherwise(fe - F.col("first_ts"))
-        .alias("time_to_first_encryption_s"),
-        F.coalesce(F.col("slope_raw"), F.lit(0.0)).alias("encryption_slope"),
-    )
+    anchor = materialize(run_anchor(parsed, keys), "run-anchor")
+    return run_scalars(window_partials(with_window_ids(parsed, anchor, keys, window_s), keys, sets), keys, max_windows)
 
 
 def run_anchor(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,7 +59,10 @@ def run_anchor(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return parsed.groupBy(*keys).agg(F.min_by("ts_s", "line_order").alias("first_ts"))
 
 
-def _guard(max_wid: Column, max_windows: int) -> Column:
+def _guard(max_wid: Column, max_windows: int | None) -> Column:
+    """T21, opt-in: a run with more windows than ``max_windows`` ends the job instead of filling them."""
+    if max_windows is None:
+        return max_wid.cast("bigint")
     return F.when(max_wid > F.lit(max_windows),
                   F.raise_error(F.concat(F.lit("gap fill would emit more than "),
                                          F.lit(str(max_windows)),
@@ -89,6 +70,12 @@ def _guard(max_wid: Column, max_windows: int) -> Column:
                   ).otherwise(max_wid).cast("bigint")
 
 
+def with_window_ids(parsed: DataFrame, anchor: DataFrame, keys: Sequence[str], window_s: float) -> DataFrame:
+    """Tumbling window id anchored at the run's first line (truncation, T4)."""
+    return (parsed.join(anchor, list(keys))
+            .withColumn("wid", ((F.col("ts_s") - F.col("first_ts")) / F.lit(window_s)).cast("bigint")))
+
+
 def window_partials(with_wid: DataFrame, keys: Sequence[str],
                     sets: Mapping[str, Sequence[str]] = S.SYSCALL_SETS) -> DataFrame:
     """Level 0: partial aggregates per (run, wid, syscall, ip), negative windows included.
@@ -121,23 +108,27 @@ def window_partials(with_wid: DataFrame, keys: Sequence[str],
         F.sum(F.when(write_evt, y)).alias("w_sy"),
         F.sum(F.when(write_evt, x * y)).alias("w_sxy"),
         F.sum(F.when(write_evt, x * x)).alias("w_sxx"),
+        F.min(F.when(write_evt, x)).alias("w_minx"),
+        F.max(F.when(write_evt, x)).alias("w_maxx"),
         F.min(F.when(enc_evt, order)).alias("e_ord"),
         F.min_by(F.col("ts_s"), F.when(enc_evt, order)).alias("e_ts"),
     )
 
 
 def run_scalars(lvl0: DataFrame, keys: Sequence[str],
-                max_windows: int = DEFAULT_MAX_WINDOWS) -> DataFrame:
+                max_windows: int | None = None) -> DataFrame:
     """Per run from level 0: max window id (guarded, T21), time to first
     encryption (T8), OLS slope of write bytes on time (A30)."""
     g = lvl0.groupBy(*keys).agg(
         F.max("first_ts").alias("first_ts"), F.max("wid").alias("max_wid"),
         F.sum("w_n").alias("n"), F.sum("w_sx").alias("sx"), F.sum("w_sy").alias("sy"),
         F.sum("w_sxy").alias("sxy"), F.sum("w_sxx").alias("sxx"),
+        F.min("w_minx").alias("minx"), F.max("w_maxx").alias("maxx"),
         F.min_by("e_ts", "e_ord").alias("first_enc_ts"))
     n = F.col("n").cast("double")
     den = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    slope = F.when((F.col("n") >= 2) & (den != 0),
+    # writes at one time have no slope; their sums would cancel to rounding noise
+    slope = F.when((F.col("n") >= 2) & (F.col("minx") < F.col("maxx")) & (den != 0),
                    (n * F.col("sxy") - F.col("sx") * F.col("sy")) / den).otherwise(F.lit(0.0))
     fe = F.col("first_enc_ts")
     return g.select(
@@ -148,20 +139,9 @@ def run_scalars(lvl0: DataFrame, keys: Sequence[str],
 
 
 def window_ids(parsed: DataFrame, glob: DataFrame, keys: Sequence[str],
-               window_s: float = S.WINDOW_SECONDS, broadcast_ok: bool | None = None,
-               max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Tumbling window id anchored at the run's first line (truncation, T4).
-
-    ``broadcast_ok`` is the caller's size check of ``glob``; when None no hint
-    is given and AQE broadcasts the run table only if its materialized size is
-    under the adaptive threshold.
-    """
-    g = glob.select(*keys, "first_ts", "max_wid")
-    if broadcast_ok is not None:
-        g = maybe_broadcast(g, broadcast_ok)
-    return (parsed.join(g, list(keys))
-            .withColumn("wid", ((F.col("ts_s") - F.col("first_ts")) / F.lit(window_s))
-                        .cast("bigint")))
+               window_s: float = S.WINDOW_SECONDS) -> DataFrame:
+    """W2 from a table of run scalars (first_ts, max_wid)."""
+    return with_window_ids(parsed, glob.select(*keys, "first_ts", "max_wid"), keys, window_s)
 
 
 def window_counters(with_wid: DataFrame, keys: Sequence[str],
@@ -223,14 +203,11 @@ def counters_from_level0(lvl0: DataFrame, keys: Sequence[str],
         total(in_set(sc, sets["spawn"]), "n").alias("child_processes"),
         total(in_set(sc, sets["exec"]), "n").alias("execve_calls"),
         total(in_set(sc, sets["dir"]), "n").alias("dir_ops"),
-        # bounded: one entry per distinct syscall name seen in the window
-        F.collect_list("n").alias("sc_counts"),
+        F.sum("n").alias("_sc_n"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("_sc_nlogn"),
     )
-    n_tot = F.aggregate("sc_counts", F.lit(0).cast("bigint"), lambda acc, c: acc + c)
-    ent = F.aggregate(
-        "sc_counts", F.lit(0.0),
-        lambda acc, c: acc + (c / n_tot) * F.log2(c / n_tot))
-    return lvl2.withColumn("syscall_entropy", F.lit(0.0) - ent).drop("sc_counts")
+    # H = log2(N) - sum(n log2 n) / N: two plain sums, no list of counts
+    total_n = F.col("_sc_n").cast("double")
+    return lvl2.withColumn("syscall_entropy", F.greatest(F.lit(0.0), F.log2(total_n) - F.col("_sc_nlogn") / total_n)).drop("_sc_n", "_sc_nlogn")
 
 
 COUNTERS = ("bytes_read", "bytes_written", "file_deletions", "file_renames", "target_extensions",
@@ -326,20 +303,17 @@ def trace_features(parsed: DataFrame, keys: Sequence[str], window_s: float = S.W
                    scale: float | None = None, entropy_tl: DataFrame | None = None,
                    proc_tl: DataFrame | None = None, tolerance: float = S.ASOF_TOLERANCE_S,
                    sets: Mapping[str, Sequence[str]] = S.SYSCALL_SETS,
-                   max_windows: int = DEFAULT_MAX_WINDOWS,
-                   max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                   max_windows: int | None = None,
                    checkpoint: bool = True) -> DataFrame:
     """The 31-column feature table, one row per dense window per run."""
     keys = list(keys)
     k = _scale_for(window_s, scale)
     parsed = parsed.select(*keys, "line_order", "ts_s", "syscall", "ret", "target_ext",
                            "is_random", "mmap_len", "futex_wait", "ip", "port")
-    # pass 1: first line per run (one regex per line after pruning), size-checked
-    # once; every other per-run table has the same row count
-    anchor, small = fits_broadcast(run_anchor(parsed, keys), max_broadcast_rows)
-    with_wid = (parsed.join(maybe_broadcast(anchor, small), keys)
-                .withColumn("wid", ((F.col("ts_s") - F.col("first_ts")) / F.lit(window_s))
-                            .cast("bigint")))
+    # pass 1: first line per run (one regex per line after pruning), written, so
+    # that the planner knows its size and broadcasts it only below the threshold
+    anchor = materialize(run_anchor(parsed, keys), "run-anchor")
+    with_wid = with_window_ids(parsed, anchor, keys, window_s)
     # pass 2: one partial aggregate feeds the counters and the run scalars
     lvl0 = window_partials(with_wid, keys, sets)
     if checkpoint:
@@ -349,7 +323,6 @@ def trace_features(parsed: DataFrame, keys: Sequence[str], window_s: float = S.W
         from tessera.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(lvl0.sparkSession)
         lvl0 = lvl0.checkpoint(eager=True)
-        anchor.unpersist()  # only lvl0 needed it
     glob = run_scalars(lvl0, keys, max_windows)
     counters = window_counters(None, keys, sets, lvl0=lvl0)
     dense = gap_fill(counters, glob.select(*keys, "first_ts", "max_wid"), keys)
@@ -361,7 +334,7 @@ def trace_features(parsed: DataFrame, keys: Sequence[str], window_s: float = S.W
         per_run = per_run.join(entropy_delta(entropy_tl, keys), keys, "left")
     else:
         per_run = per_run.withColumn("file_entropy_delta", F.lit(0.0))
-    dense = dense.join(maybe_broadcast(per_run, small), keys)
+    dense = dense.join(per_run, keys)
 
     c = F.col
     zero = F.lit(0).cast("bigint")

@@ -1,46 +1,12 @@
-"""Join helpers: a size-checked broadcast and the tolerance as-of join."""
+"""The tolerance as-of join."""
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest row count we are willing to ship to every executor. Per-run global
-# tables have ~6 narrow columns, so 2M rows stays well under ~200 MB.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def fits_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Persist ``small`` and report whether its row count is within ``max_rows``."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    return small, small.count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, ok: bool) -> DataFrame:
-    return F.broadcast(df) if ok else df
-
-
-def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only after proving its row count is below ``max_rows``.
-
-    The side is persisted (memory and disk, so a lost executor recomputes it
-    from lineage) and counted once; beyond the bound it is returned as is and
-    the planner picks a shuffle join instead.
-    """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
-
-
-def join_run_globals(big: DataFrame, small: DataFrame, keys: Sequence[str],
-                     how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Attach per-run scalars to every row of a large table."""
-    return big.join(bounded_broadcast(small, max_rows), list(keys), how)
-
-
 def asof_first_match(left: DataFrame, right: DataFrame, keys: Sequence[str],
                      left_id: Sequence[str], left_time: str, right_time: str,
                      values: Sequence[str], order: str, tolerance: float) -> DataFrame:

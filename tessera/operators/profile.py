@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from tessera import schemas as S
 from tessera.functions.scalar import safe_pct, stable_round
+from tessera.storage import join_null_safe, materialize
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -64,8 +65,9 @@ def exact_percentiles(vc: DataFrame, keys: Sequence[str], percentiles: Sequence[
     """Exact linear percentiles (numpy 'linear') from a value-count table
     ``(keys, value, n)`` without holding a whole column in one task.
 
-    1. range-partition by (keys, value): each partition holds a contiguous,
-       sorted slice of every column;
+    1. range-partition by (keys, value) and write the slices: each partition
+       holds a contiguous, sorted slice of every column, and both branches
+       below read the same ones;
     2. running count inside each (partition, keys) slice -- bounded by the
        partition size;
     3. per-slice totals (#partitions x #columns rows) give each slice's rank
@@ -78,8 +80,8 @@ def exact_percentiles(vc: DataFrame, keys: Sequence[str], percentiles: Sequence[
     spark = vc.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = vc.filter(F.col("value").isNotNull())
-    ranged = (v.repartitionByRange(parts, *keys, "value")
-              .withColumn("_pid", F.spark_partition_id()))
+    ranged = materialize(v.repartitionByRange(parts, *keys, "value")
+                         .withColumn("_pid", F.spark_partition_id()), "value-slices")
     wl = Window.partitionBy("_pid", *keys).orderBy("value") \
         .rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_cum", F.sum("n").over(wl))
@@ -87,14 +89,14 @@ def exact_percentiles(vc: DataFrame, keys: Sequence[str], percentiles: Sequence[
     wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.withColumn("_off", F.coalesce(F.sum("_t").over(wo), F.lit(0))) \
         .withColumn("_N", F.sum("_t").over(Window.partitionBy(*keys)))
-    ranked = local.join(offs, ["_pid", *keys]).withColumn("_end", F.col("_off") + F.col("_cum"))
+    ranked = join_null_safe(local, offs, ["_pid", *keys]).withColumn("_end", F.col("_off") + F.col("_cum"))
     ranked = ranked.withColumn("_start", F.col("_end") - F.col("n"))  # ranks [_start, _end)
     tgt = (offs.select(*keys, "_N").distinct()
            .withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in percentiles])))
            .withColumn("_h", (F.col("_N") - 1).cast("double") * (F.col("p") / F.lit(100.0)))
            .withColumn("_lo", F.floor("_h").cast("bigint"))
            .withColumn("_hi", F.ceil("_h").cast("bigint")))
-    hit = ranked.select(*keys, "value", "_start", "_end").join(tgt, keys) \
+    hit = join_null_safe(ranked.select(*keys, "value", "_start", "_end"), tgt, keys) \
         .filter(((F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_end")))
                 | ((F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_end"))))
     res = hit.groupBy(*keys, "p", "_h", "_lo").agg(
@@ -143,8 +145,8 @@ def profile_numeric(df: DataFrame, group: Sequence[str], cols: Sequence[str] | N
         pw = pc.groupBy(*group, "column_name").agg(
             F.array(*[F.max(F.when(F.col("p") == float(q), F.col("value"))) for q in percentiles])
             .alias("_pct"))
-        counts = counts.join(pw, group + ["column_name"], "left")
-    out = moments.join(counts, group + ["column_name"])
+        counts = join_null_safe(counts, pw, group + ["column_name"], "left")
+    out = join_null_safe(moments, counts, group + ["column_name"])
     n = F.coalesce(F.col("non_null"), F.lit(0)).cast("double")
     ratio = (n - 1) / n
     skew = F.when((n >= 3) & (F.col("std") > 0), F.col("skew_pop") * F.pow(ratio, 1.5))
@@ -202,7 +204,7 @@ def profile_categorical(df: DataFrame, group: Sequence[str], cols: Sequence[str]
         F.sum(F.when(~nn, F.col("n"))).alias("nulls"),
         F.count_if(nn).alias("cardinality"))
     top = top_values(vc.filter(nn), group + ["column_name"], top_n)
-    out = per_col.join(top, group + ["column_name"], "left")
+    out = join_null_safe(per_col, top, group + ["column_name"], "left")
     return out.select(
         *group, "column_name", "rows",
         F.coalesce(F.col("non_null"), F.lit(0)).cast("bigint").alias("non_null"),
@@ -248,7 +250,7 @@ def profile_overview(df: DataFrame, group: Sequence[str]) -> DataFrame:
     digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256)
     dup = (df.groupBy(*group, digest.alias("_d")).agg(F.count(F.lit(1)).alias("_k"))
            .groupBy(*group).agg(F.sum(F.col("_k") - 1).alias("duplicate_rows")))
-    out = base.join(dup, group)
+    out = join_null_safe(base, dup, group)
     ncols = len(cols) + len(group)
     return out.select(
         *group, "rows", F.lit(ncols).cast("bigint").alias("columns"),

@@ -30,23 +30,12 @@ def features_from_runs(spark: SparkSession, root: str, window_s: float = S.WINDO
     """
     lines = FS.read_traces(spark, root)
     parsed = parse_trace_lines(lines)
-    kw = {} if max_windows is None else {"max_windows": max_windows}
     ent = proc = None
     if with_timelines:
-        ent = _maybe(lambda: FS.read_entropy_timeline(spark, root))
-        proc = _maybe(lambda: FS.read_proc_timeline(spark, root))
+        ent = FS.read_entropy_timeline(spark, root)
+        proc = FS.read_proc_timeline(spark, root)
     return trace_features(parsed, RUN_KEYS, window_s=window_s, entropy_tl=ent, proc_tl=proc,
-                          tolerance=tolerance, **kw)
-
-
-def _maybe(read):
-    """A timeline kind that exists in no run is simply absent."""
-    try:
-        df = read()
-        df.schema  # resolve now: no matching file -> AnalysisException
-        return df
-    except Exception:  # noqa: BLE001 - missing input is allowed by the spec
-        return None
+                          tolerance=tolerance, max_windows=max_windows)
 
 
 def main(argv=None) -> None:

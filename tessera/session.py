@@ -8,10 +8,11 @@ value the cluster already set, most importantly ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+from tessera.storage import shared_folder
+
 # Settings every operator assumes. Wide summaries (31 columns x 4 stats) lose
 # whole-stage codegen at the default maxFields of 100, hence 500.
 REQUIRED_CONF = {
@@ -49,27 +50,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply REQUIRED_CONF to an existing session without clobbering it."""
+    """Fill in REQUIRED_CONF where the session hasn't set a value of its own."""
+    own = spark.conf.getAll
     for k, v in REQUIRED_CONF.items():
-        try:
+        if k not in own and spark.conf.isModifiable(k):
             spark.conf.set(k, v)
-        except Exception:  # static conf on a running cluster session
-            pass
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
-
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is. Only when it is unset (local tests) do we create a scratch folder.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    """Make checkpoints go to the shared folder (see ``storage.shared_folder``); a folder already set stays."""
+    folder = shared_folder(spark)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder

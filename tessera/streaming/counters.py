@@ -72,4 +72,4 @@ def stream_trace_dir(spark, path: str, keys_from_path: bool = True,
     if keys_from_path:
         raw = raw.withColumn("sample", F.regexp_extract(F.col("_metadata.file_path"),
                                                         r"([^/]+)/[^/]+$", 1))
-    return parse_trace_lines(raw.withColumnRenamed("value", "line"), spread=False)
+    return parse_trace_lines(raw.withColumnRenamed("value", "line"))

@@ -6,6 +6,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera import schemas as S
 from tessera.functions.trace import parse_trace_lines
 from tessera.operators import features as FT
@@ -69,7 +71,7 @@ def brute(lines, W=0.1):
 def feats(spark):
     df = spark.createDataFrame([(1, i, ln) for i, ln in enumerate(RUN)],
                                "sample_id long, line_order long, line string")
-    p = parse_trace_lines(df, spread=False)
+    p = parse_trace_lines(df)
     return {r.window_idx: r for r in FT.trace_features(p, ["sample_id"]).collect()}
 
 
@@ -110,7 +112,7 @@ def test_gap_fill_guard(spark):
     df = spark.createDataFrame(
         [(1, 0, "1 07:00:00.0 read(3) = 1"), (1, 1, "1 1720000000.0 read(3) = 1")],
         "sample_id long, line_order long, line string")
-    p = parse_trace_lines(df, spread=False)
+    p = parse_trace_lines(df)
     with pytest.raises(Exception):
         FT.trace_features(p, ["sample_id"], max_windows=1000).collect()
 
@@ -119,3 +121,14 @@ def test_dense_ids_in_slices(spark):
     glob = spark.createDataFrame([(1, 0.0, 10), (2, 0.0, 0)], "sample_id long, first_ts double, max_wid long")
     ids = sorted((r.sample_id, r.wid) for r in FT.dense_window_ids(glob, ["sample_id"], chunk=3).collect())
     assert ids == [(1, w) for w in range(11)] + [(2, 0)]
+
+
+def test_writes_at_one_time_have_no_slope(spark):
+    rows = [(0, "a", 42927.782161, "open", 3), (1, "a", 42929.010612, "write", 44950), (2, "a", 42929.010612, "write", 3851), (3, "a", 42929.010612, "write", 67533)]
+    p = spark.createDataFrame(rows, "line_order long, sample_id string, ts_s double, syscall string, ret long").selectExpr(
+        "*", "false AS target_ext", "false AS is_random", "CAST(NULL AS BIGINT) AS mmap_len", "false AS futex_wait", "CAST(NULL AS STRING) AS ip", "CAST(NULL AS STRING) AS port")
+    assert FT.run_globals(p, ["sample_id"]).first().encryption_slope == 0.0
+    assert {r.encryption_slope for r in FT.trace_features(p, ["sample_id"]).collect()} == {0.0}
+    plan = FT.window_partials(FT.with_window_ids(p.withColumn("line_order", F.col("line_order").cast("decimal(38,0)")), FT.run_anchor(p, ["sample_id"]), ["sample_id"], 0.1),
+                              ["sample_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -90,3 +90,30 @@ def test_asof_many_keeps_each_timeline_order(spark):
         ["run"], ["wid"], "t", 0.5).collect()}
     assert set(rows) == {0}                       # wid 1 has no sample within 0.5 s
     assert rows[0].e == 2.0 and rows[0].m == 20   # earliest epoch vs. earliest position
+
+
+def test_percentiles_do_not_depend_on_exchange_reuse(spark):
+    df = spark.range(30000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE 'g' END AS g", "CAST(id * 7919 % 30011 AS DOUBLE) AS x")
+    kept = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        for reuse in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            rows = {r.g: r for r in PR.profile_numeric(df, ["g"], ["x"]).collect()}
+            for g, pick in ((None, 0), ("g", 1)):
+                xs = [float(i * 7919 % 30011) for i in range(30000) if (i % 3 == 0) == (pick == 0)]
+                assert rows[g].rows == len(xs)
+                for p in (0, 1, 5, 25, 50, 75, 95, 99, 100):
+                    assert rows[g][f"p{p}"] == pytest.approx(round(float(np.percentile(xs, p)), 4), abs=2e-4)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", kept)
+
+
+def test_profiles_keep_null_groups_and_need_no_group(spark):
+    df = spark.createDataFrame([(None, 1, "x"), (None, 1, "x"), ("g", 2, None)], "g string, a int, b string")
+    ov = {r.g: r for r in PR.profile_overview(df, ["g"]).collect()}
+    assert ov[None].rows == 2 and ov[None].duplicate_rows == 1 and ov["g"].total_nulls == 1
+    whole = PR.profile_overview(df, []).collect()
+    assert len(whole) == 1 and whole[0].rows == 3 and whole[0].duplicate_rows == 1
+    top = {(r.g, r["rank"]): r.value for r in PR.profile_categorical(df, ["g"], ["b"]).collect()}
+    assert top[(None, 1)] == "x"
+    assert PR.profile_numeric(df, [], ["a"]).first().p50 == 1.0

@@ -86,7 +86,7 @@ def test_stream_matches_batch(spark, scratch):
                                         r.urandom_bytes)
            for r in spark.sql("SELECT * FROM x1_counters").collect()}
     batch_src = spark.createDataFrame([("s1", ln) for ln in lines], "sample string, line string")
-    batch = SC.window_counters(parse_trace_lines(batch_src, spread=False), ["sample"], watermark=None)
+    batch = SC.window_counters(parse_trace_lines(batch_src), ["sample"], watermark=None)
     exp = {(r.sample, r.window.start): (r.lines, r.bytes_read, r.bytes_written, r.file_deletions,
                                         r.urandom_bytes) for r in batch.collect()}
     assert got == exp and len(got) == 3
@@ -152,7 +152,7 @@ def test_anchored_stream_matches_batch(spark, scratch):
                .load(os.path.join(scratch, "anch") + "/*"))
         from tessera.functions.trace import parse_trace_lines
         lines = raw.select(F.lit("s1").alias("sample"), F.col("value").alias("line"))
-        parsed = parse_trace_lines(lines, spread=False)
+        parsed = parse_trace_lines(lines)
         q = (AN.anchored_partials(parsed, "sample", window_s=0.1).writeStream
              .outputMode("append").format("memory").queryName("x1_anchor")
              .option("checkpointLocation", os.path.join(scratch, "ck3")).start())
@@ -166,7 +166,7 @@ def test_anchored_stream_matches_batch(spark, scratch):
             q.stop()
     batch_src = spark.createDataFrame([("s1", i, ln) for i, ln in enumerate(RUN)],
                                       "sample string, line_order long, line string")
-    p = parse_trace_lines(batch_src, spread=False)
+    p = parse_trace_lines(batch_src)
     anchor = FT.run_anchor(p, ["sample"])
     ww = FT.window_ids(p, anchor.withColumn("max_wid", F.lit(0)), ["sample"], 0.1)
     exp = {r.wid: r for r in FT.window_counters(ww, ["sample"]).collect()}

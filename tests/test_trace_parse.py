@@ -23,7 +23,7 @@ LINES = [
 @pytest.fixture(scope="module")
 def parsed(spark):
     df = spark.createDataFrame(LINES, "line_order long, line string")
-    return {r.line_order: r for r in parse_trace_lines(df, spread=False).collect()}
+    return {r.line_order: r for r in parse_trace_lines(df).collect()}
 
 
 def test_dropped_lines(parsed):
@@ -61,3 +61,12 @@ def test_random_and_futex(parsed):
     assert parsed[8].is_random and parsed[8].ret == 32
     assert parsed[10].futex_wait
     assert parsed[9].syscall == "pwrite64"
+
+
+def test_tab_indented_and_odd_clocks(spark):
+    rows = [(0, "\t123 10.5 read(3) = 4"), (1, "  7 09:08:07.250 write(1) = 2"), (2, "\t 10.25 open(\"a\") = 3"), (3, "not a line")]
+    got = {r.line_order: r for r in parse_trace_lines(spark.createDataFrame(rows, "line_order long, line string")).collect()}
+    assert set(got) == {0, 1, 2}
+    assert (got[0].pid, got[0].ts_s, got[0].syscall, got[0].ret) == (123, 10.5, "read", 4)
+    assert (got[1].clock, got[1].ts_s) == ("wall", 9 * 3600 + 8 * 60 + 7.25)
+    assert got[2].pid is None and got[2].path == "a"
