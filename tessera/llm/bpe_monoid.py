@@ -17,11 +17,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BoundedCache, ChunkIds, id_text, map_text, tokenizer_path
+from tessera.llm.common import BoundedCache, ChunkIds, held, id_text, map_text, tokenizer_path
 
 #: Above this length a window is encoded with a heap instead of repeated scans.
 SCAN_BYTES = 48
@@ -30,7 +31,7 @@ SCAN_BYTES = 48
 class TreeBPE:
     """Encoder and decoder for a table of ranks; all caches are bounded and change speed only."""
 
-    def __init__(self, ranks: dict[bytes, int], cache_size: int = 1 << 17) -> None:
+    def __init__(self, ranks: dict[bytes, int], cache_size: int = 1 << 16) -> None:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self._pair = BoundedCache(self._compatible, cache_size)
@@ -132,14 +133,14 @@ class TreeBPE:
         return level[0] if level else b""
 
 
-_CODERS: dict = {}
-
-
 def coder(path: str) -> TreeBPE:
     """One coder for each Python worker."""
-    if path not in _CODERS:
-        _CODERS[path] = TreeBPE.load(path)
-    return _CODERS[path]
+    return held(("tree", path), lambda: TreeBPE.load(path))
+
+
+def text_coder(folder: str | None, cache_size: int) -> TextCoder:
+    path = tokenizer_path("byte_bpe_50k.tiktoken", folder)
+    return held(("text", path, cache_size), lambda: TextCoder(coder(path), cache_size))
 
 
 def split_pattern():
@@ -157,9 +158,10 @@ class TextCoder:
         self.decode = tree.decode
         self.decimal = [str(i) for i in range(max(tree.bytes_of, default=0) + 1)]
 
-        def chunk(text: str):
+        def chunk(text: str) -> bytes:
             found = find(text)
-            return encode(text.encode("utf-8")) if len(found) == 1 else [i for piece in found for i in encode(piece.encode("utf-8"))]
+            ids = encode(text.encode("utf-8")) if len(found) == 1 else [i for piece in found for i in encode(piece.encode("utf-8"))]
+            return array("I", ids).tobytes()
 
         self.ids = ChunkIds(chunk, cache_size).ids
 
@@ -169,12 +171,11 @@ class TextCoder:
         return len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 1 << 19,
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 1 << 17,
                  folder: str | None = None) -> DataFrame:
     """Token ids of each text as an array: ``id_col``, ids array<int>. Null and empty texts have no ids."""
     def each():
-        tree = coder(tokenizer_path("byte_bpe_50k.tiktoken", folder))
-        own = TextCoder(tree, cache_size)
+        own = text_coder(folder, cache_size)
         return lambda text: (own.ids(text).tolist(),)
 
     return map_text(id_text(docs, id_col, text_col), text_col, "ids array<int>", each)
@@ -189,7 +190,7 @@ def decode_ids(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     return map_text(tokens.select(id_col, ids_col), ids_col, "raw binary", each)
 
 
-def encode_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 1 << 19,
+def encode_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 1 << 17,
                       folder: str | None = None) -> DataFrame:
     """Encode each text, decode its ids: ``id_col``, n_tokens, ids_sha256, decoded_sha256.
 
@@ -200,6 +201,6 @@ def encode_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     are ordinary text.
     """
     def each():
-        return TextCoder(coder(tokenizer_path("byte_bpe_50k.tiktoken", folder)), cache_size).round_trip
+        return text_coder(folder, cache_size).round_trip
 
     return map_text(id_text(docs, id_col, text_col), text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", each)

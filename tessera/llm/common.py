@@ -6,8 +6,7 @@ import contextlib
 import gc
 import os
 import uuid
-from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +71,18 @@ def clean_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What ``make`` gives, made once for each Python worker and kept across its tasks (``key`` names it)."""
+    if key not in _HELD:
+        for old in [k for k in _HELD if k[0] == key[0]]:
+            del _HELD[old]  # one of a kind: bounded
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 @contextlib.contextmanager
 def no_cycle_search():
     """Python's search for reference cycles off while a task fills large caches that hold none."""
@@ -169,12 +180,12 @@ def clean_edges(part: str) -> bool:
 class ChunkIds:
     """Token ids of whole texts from a cache of chunks (a word with the space before it).
 
-    ``encode`` gives the ids of one chunk; ids are kept as packed 32-bit numbers.
+    ``encode`` gives the ids of one chunk as packed unsigned 32-bit numbers.
     """
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], cache_size: int) -> None:
-        self.pack = lambda chunk: array("I", encode(chunk)).tobytes()
-        self.spaced = BoundedCache(lambda p: self.pack(" " + p) if clean_edges(p) else None, cache_size)
+    def __init__(self, encode: Callable[[str], bytes], cache_size: int) -> None:
+        self.pack = encode
+        self.spaced = BoundedCache(lambda p: encode(" " + p) if clean_edges(p) else None, cache_size)
 
     def ids(self, text: str) -> np.ndarray:
         if not text:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,16 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BoundedCache, ChunkIds, id_text, materialize, no_cycle_search, tokenizer_path
+from tessera.llm.common import ChunkIds, held, id_text, materialize, no_cycle_search, tokenizer_path
 
 CAPACITY = 1024
 
 
 # ---------------------------------------------------------------- ids
 
-_TOKENIZERS: dict = {}
-
-
 def byte_level_chars() -> dict[int, str]:
     """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -45,44 +43,46 @@ def byte_level_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def chunk_encoder(path: str, cache_size: int = 1 << 17):
-    """Function from a chunk of text to its ids by the tokenizers library.
+def chunk_encoder(path: str):
+    """Function from a chunk of text to its packed ids, as the tokenizers library gives them for this file.
 
-    Chunks without an added token go straight to the library's model, one call
-    for each match of the split pattern; others to its whole pipeline.
+    The file's vocabulary is a table of byte strings whose ids are in merge
+    order, so a compiled rank merger gives the library's ids for each match of
+    the split pattern (tests hold it against the library); chunks with an added
+    token go to the library itself.
     """
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-
-        from tessera.llm.bpe_monoid import split_pattern
-
-        whole = Tokenizer.from_file(path)
-        model, table, find = whole.model, byte_level_chars(), split_pattern().findall
-        added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    import tiktoken
+    from tokenizers import Tokenizer
 
-        def match(piece: str) -> list[int]:
-            return [t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(table))]
+    from tessera.llm.bpe_monoid import split_pattern
 
-        get = BoundedCache(match, cache_size).__getitem__
+    whole = Tokenizer.from_file(path)
+    added = {i: t.content for i, t in whole.get_added_tokens_decoder().items()}
+    byte_of = {c: b for b, c in byte_level_chars().items()}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in whole.get_vocab(with_added_tokens=False).items() if i not in added}
+    pattern = split_pattern()
+    merge = tiktoken.Encoding("byte-level", pat_str=pattern.pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    find, marks = pattern.findall, tuple(added.values())
 
-        def encode(chunk: str) -> list[int]:
-            for a in added:
-                if a in chunk:
-                    return whole.encode(chunk, add_special_tokens=False).ids
-            return [i for ids in map(get, find(chunk)) for i in ids]
+    def encode(chunk: str) -> bytes:
+        for mark in marks:
+            if mark in chunk:
+                return array("I", whole.encode(chunk, add_special_tokens=False).ids).tobytes()
+        found = find(chunk)
+        return array("I", merge(chunk) if len(found) == 1 else [i for piece in found for i in merge(piece)]).tobytes()
 
-        _TOKENIZERS[path] = encode
-    return _TOKENIZERS[path]
+    return encode
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, end_id: int = 0,
-             cache_size: int = 1 << 19, folder: str | None = None) -> DataFrame:
+             cache_size: int = 1 << 17, folder: str | None = None) -> DataFrame:
     """One row for each document: doc_tokens, checksums of whole pieces, ids of the last piece, task and ranks."""
     dtype = dict(docs.dtypes)[id_col]
     spec = (f"`{id_col}` {dtype}, doc_tokens long, whole_crc array<long>, tail binary, task long, whole_rank long, tail_rank long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkIds(chunk_encoder(tokenizer_path("byte_bpe_50k.json", folder)), cache_size)
+        path = tokenizer_path("byte_bpe_50k.json", folder)
+        coder = held(("byte-level ids", path, cache_size), lambda: ChunkIds(chunk_encoder(path), cache_size))
         context = TaskContext.get()
         task, ranks, wholes = context.partitionId() if context else 0, defaultdict(int), 0
         end = np.array([end_id], "<u4")

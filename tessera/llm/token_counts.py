@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BoundedCache, id_text, map_text, tokenizer_path
+from tessera.llm.common import BoundedCache, held, id_text, map_text, tokenizer_path
 
 MARK = "▁"  # what the vocabulary writes for a space
 
@@ -110,20 +110,15 @@ def chunk_keys(text: str) -> list[str]:
     return out
 
 
-_PROCESSORS: dict = {}
-
-
 def processor(path: str):
     """The library's processor, loaded once for each Python worker."""
-    if path not in _PROCESSORS:
-        import sentencepiece
+    import sentencepiece
 
-        _PROCESSORS[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return _PROCESSORS[path]
+    return held(("sentencepiece", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096,
-                 table_size: int = 8192, cache_size: int = 1 << 19, folder: str | None = None) -> DataFrame:
+                 table_size: int = 8192, cache_size: int = 1 << 18, folder: str | None = None) -> DataFrame:
     """Tokens of each text as the sentence-piece library counts them.
 
     Returns ``id_col``, n_bytes, n_tokens, over_limit (n_tokens > ``limit``),
@@ -146,7 +141,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             # -1 for a part that has to be joined to the next one
             return -(1 << 40) if key == "" or key[-1] == MARK else len(library.encode(key))
 
-        lengths = BoundedCache(encoded, cache_size, fixed)
+        lengths = held(("lengths", joined, cache_size), lambda: BoundedCache(encoded, cache_size, fixed))
         get = lengths.__getitem__
 
         def count(text: str) -> tuple[int]:
