@@ -43,7 +43,8 @@ def asof_first_match_many(left: DataFrame, timelines: Sequence[tuple], keys: Seq
     ``timelines`` holds ``(df, time_col, order_col, value_col)``; each value
     comes from its own timeline's first match by its own order. The
     candidates are unioned with the other timelines' columns null, so each
-    ``min_by`` only sees its own rows (null orderings are skipped): one
+    ``min_by`` only sees its own rows (null orderings are skipped) and every
+    order keeps its own type: one
     shuffle of the probes, one aggregate, instead of one of each per timeline.
     """
     keys, left_id = list(keys), list(left_id)
@@ -55,8 +56,9 @@ def asof_first_match_many(left: DataFrame, timelines: Sequence[tuple], keys: Seq
     for i, (df, tcol, ocol, vcol) in enumerate(timelines):
         cols = [*[F.col(k) for k in keys], F.col(tcol).cast("double").alias("_rt")]
         for j, (_, _, _, v2) in enumerate(timelines):
-            cols.append((F.col(ocol) if i == j else F.lit(None)).cast("double").alias(f"_o{j}"))
-            cols.append((F.col(v2) if i == j else F.lit(None)).alias(f"_v{j}"))
+            o2, own = timelines[j][2], timelines[j][0].schema
+            cols.append((F.col(ocol) if i == j else F.lit(None).cast(own[o2].dataType)).alias(f"_o{j}"))
+            cols.append((F.col(v2) if i == j else F.lit(None).cast(own[v2].dataType)).alias(f"_v{j}"))
         parts.append(df.select(*cols))
     cands = parts[0]
     for p in parts[1:]:

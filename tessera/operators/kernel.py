@@ -85,8 +85,6 @@ def gamma_search(spark: SparkSession, df: DataFrame, vec: str, label: str, d_in:
                  gammas: Sequence[float], n_components: int = 256, seed: int = 42) -> DataFrame:
     """K6 + M16: alignment for each gamma of a grid, best one flagged."""
     rows = [alignment_rff(df, vec, label, d_in, g, n_components, seed) for g in gammas]
-    res = spark.createDataFrame([(r["gamma"], r["alignment"]) for r in rows],
-                                "gamma double, alignment double")
-    best = res.agg(F.max_by("gamma", "alignment").alias("_g"))
-    return res.join(best, F.col("gamma") == F.col("_g"), "left") \
-        .select("gamma", "alignment", F.col("_g").isNotNull().alias("best"))
+    best = min(rows, key=lambda r: (-r["alignment"], r["gamma"]))["gamma"]  # equal scores: the smallest gamma
+    return spark.createDataFrame([(r["gamma"], r["alignment"], r["gamma"] == best) for r in rows],
+                                 "gamma double, alignment double, best boolean")

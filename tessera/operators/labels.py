@@ -105,8 +105,14 @@ def transform_standard(df: DataFrame, cols: Sequence[str], model: dict,
 
 
 def fit_median(df: DataFrame, cols: Sequence[str]) -> dict:
-    """M1 fit: exact median (linear interpolation) of the non-null values."""
-    return _one_row(df, [F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in cols])
+    """M1 fit: exact median (linear interpolation) of the non-null values; null for a column without any.
+
+    Ranks come from range-partitioned value counts, so no task holds a column.
+    """
+    from tessera.operators.profile import exact_percentiles, value_counts
+
+    found = exact_percentiles(value_counts(df, [], cols), ["column_name"], [50]).collect()  # one row per column
+    return {c: None for c in cols} | {r["column_name"]: r["value"] for r in found}
 
 
 def transform_impute(df: DataFrame, cols: Sequence[str], model: dict,
@@ -148,16 +154,14 @@ def centroid_kernel(df: DataFrame, id_col: str, vec: str, label: str) -> DataFra
     """M15 re-aimed: RBF kernel of every vector to its own class centroid.
 
     The pairwise n x n kernel is not built (it grows with n^2); landmarks are
-    the class centroids, found by a long-format aggregate over (class,
-    dimension) and joined back by equality on (class, dimension). gamma is
-    'auto' (1/d).
+    the class centroids, one array for each class from a (class, dimension)
+    aggregate, joined to the rows by class. gamma is 'auto' (1/d).
     """
-    long = df.select(id_col, label, F.posexplode(vec).alias("i", "x"))
-    cent = long.groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
-    j = long.join(cent, [label, "i"])
-    per = j.groupBy(id_col, label).agg(
-        F.sum((F.col("x").cast("double") - F.col("c")) * (F.col("x").cast("double") - F.col("c")))
-        .alias("sq_dist"),
-        F.count(F.lit(1)).alias("d"))
+    means = df.select(label, F.posexplode(vec).alias("i", "x")).groupBy(label, "i").agg(
+        F.avg(F.col("x").cast("double")).alias("c"))
+    cent = means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("_c"))
+    j = df.select(id_col, label, F.transform(vec, lambda v: v.cast("double")).alias("_x")).join(cent, label)
+    per = j.select(id_col, label, sq_distance(F.col("_x"), F.slice("_c", F.lit(1), F.size("_x"))).alias("sq_dist"),
+                   F.size("_x").cast("bigint").alias("d"))
     return per.select(id_col, label, "sq_dist", "d",
                       rbf(F.col("sq_dist"), F.lit(1.0) / F.col("d")).alias("rbf"))

@@ -92,7 +92,16 @@ SELECT p.user_id, p.event_id, COALESCE(m1.v, 0.0) AS first_by_time, COALESCE(m2.
 FROM pu p LEFT JOIN m1 USING (user_id, event_id) LEFT JOIN m2 USING (user_id, event_id)
 """
 
+STRATIFIED = """
+WITH r AS (
+    SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR), doc_id) - 1) % 5 AS fold FROM labels
+)
+SELECT fold::INTEGER AS fold, quality, count(*) AS n, min(doc_id) AS first_id, sum(doc_id)::BIGINT AS id_sum
+FROM r GROUP BY 1, 2
+"""
+
 ORACLE = {
+    "stratified_folds": STRATIFIED,
     "minmax": MINMAX,
     "standardize": STANDARD,
     "median_impute": MEDIAN,

@@ -72,14 +72,8 @@ def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 + E3 (+E7 pooled): accuracy, macro and weighted averages."""
-    pr = predictions(spark, sf_dir)
-    av = EV.averages(EV.class_report(pr, "y", "p"))
-    acc = EV.accuracy(pr, "y", "p")
-    # both sides are single-row aggregates: join them on a constant key
-    left = av.select(*[stable_round(F.col(c)).alias(c) for c in av.columns if c != "support"],
-                     "support", F.lit(1).alias("_k"))
-    right = acc.select(stable_round(F.col("accuracy")).alias("accuracy"), F.lit(1).alias("_k"))
-    return left.join(right, "_k").drop("_k")
+    av = EV.averages(EV.class_report(predictions(spark, sf_dir), "y", "p"))
+    return av.select(*[stable_round(F.col(c)).alias(c) for c in av.columns if c != "support"], "support")
 
 
 def sample_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,8 @@ def _queries() -> dict[str, QueryFn]:
         "calibrated_votes": model_queries.calibrated_votes,
         "kernel_alignment": model_queries.kernel_alignment,
         "linear_svm_importance": model_queries.linear_svm_importance,
+        "forest_top_n_test": model_queries.forest_top_n_test,
+        "stratified_folds": model_queries.stratified_folds,
     }
     return q
 
