@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import string
 from array import array
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ from tessera.llm.common import BoundedCache, ChunkIds, held, id_text, map_text,
 
 #: Above this length a window is encoded with a heap instead of repeated scans.
 SCAN_BYTES = 48
+MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
 class TreeBPE:
@@ -34,9 +36,8 @@ class TreeBPE:
     def __init__(self, ranks: dict[bytes, int], cache_size: int = 1 << 16) -> None:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self._pair = BoundedCache(self._compatible, cache_size)
-        self._window = BoundedCache(self._plain, cache_size)
-        self._half = BoundedCache(self._reduce, cache_size)
+        self._window = BoundedCache(self._plain, cache_size)  # of boundary windows, which also tell compatible pairs
+        self._half = BoundedCache(self._reduce, 2 * cache_size)
 
     @classmethod
     def load(cls, path: str, **kw) -> TreeBPE:
@@ -54,29 +55,32 @@ class TreeBPE:
         if rank is not None:
             return (rank,)
         mid = len(piece) // 2
+        if len(piece) <= SCAN_BYTES:
+            half = self._half
+            return self.join(half[piece[:mid]], half[piece[mid:]])
         return self.join(self.encode(piece[:mid]), self.encode(piece[mid:]))
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The monoid's product."""
         if not left or not right:
             return left or right
-        if self._pair[left[-1], right[0]]:
+        bytes_of, known = self.bytes_of, self._window
+        a, b = left[-1], right[0]
+        window = known[bytes_of[a] + bytes_of[b]]
+        if window == (a, b):  # a compatible pair: nothing changes
             return left + right
         i = j = 1
         while True:
-            i, j = min(i, len(left)), min(j, len(right))
-            inner = left[len(left) - i:] + right[:j]
-            raw = b"".join(map(self.bytes_of.__getitem__, inner))
-            window = self._window[raw] if len(raw) <= SCAN_BYTES else self._plain(raw)
-            low = i == len(left) or self._pair[left[-i - 1], window[0]]
-            high = j == len(right) or self._pair[window[-1], right[j]]
+            low = i == len(left) or self._compatible(left[-i - 1], window[0])
+            high = j == len(right) or self._compatible(window[-1], right[j])
             if low and high:
                 return left[:len(left) - i] + window + right[j:]
-            i, j = (i if low else 2 * i), (j if high else 2 * j)
+            i, j = min(i if low else 2 * i, len(left)), min(j if high else 2 * j, len(right))
+            raw = b"".join(map(bytes_of.__getitem__, left[len(left) - i:] + right[:j]))
+            window = known[raw] if len(raw) <= SCAN_BYTES else self._plain(raw)
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        a, b = pair
-        return self._window[self.bytes_of[a] + self.bytes_of[b]] == pair
+    def _compatible(self, a: int, b: int) -> bool:
+        return self._window[self.bytes_of[a] + self.bytes_of[b]] == (a, b)
 
     def _plain(self, raw: bytes) -> tuple[int, ...]:
         """Merge the adjacent pair of least rank, the leftmost first, until none is left."""
@@ -159,8 +163,14 @@ class TextCoder:
         self.decimal = [str(i) for i in range(max(tree.bytes_of, default=0) + 1)]
 
         def chunk(text: str) -> bytes:
-            found = find(text)
-            ids = encode(text.encode("utf-8")) if len(found) == 1 else [i for piece in found for i in encode(piece.encode("utf-8"))]
+            # letters and then marks without an apostrophe are two matches; the pattern tells for all else
+            word = text.rstrip(MARKS)
+            if word[1:].isalpha() and word[0] == " ":
+                ids = encode(word.encode())
+                if len(word) < len(text):
+                    ids += encode(text[len(word):].encode())
+            else:
+                ids = [i for piece in find(text) for i in encode(piece.encode())]
             return array("I", ids).tobytes()
 
         self.ids = ChunkIds(chunk, cache_size).ids
