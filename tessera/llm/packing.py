@@ -54,28 +54,35 @@ def chunk_encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    from tessera.llm.bpe_monoid import split_pattern
+    from tessera.llm.bpe_monoid import MARKS, split_pattern
 
     whole = Tokenizer.from_file(path)
     added = {i: t.content for i, t in whole.get_added_tokens_decoder().items()}
     byte_of = {c: b for b, c in byte_level_chars().items()}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in whole.get_vocab(with_added_tokens=False).items() if i not in added}
     pattern = split_pattern()
-    merge = tiktoken.Encoding("byte-level", pat_str=pattern.pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    merge = tiktoken.Encoding("byte-level", pat_str=pattern.pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
     find, marks = pattern.findall, tuple(added.values())
 
     def encode(chunk: str) -> bytes:
         for mark in marks:
             if mark in chunk:
                 return array("I", whole.encode(chunk, add_special_tokens=False).ids).tobytes()
-        found = find(chunk)
-        return array("I", merge(chunk) if len(found) == 1 else [i for piece in found for i in merge(piece)]).tobytes()
+        # letters and then marks without an apostrophe are two matches; the pattern tells for all else
+        word = chunk.rstrip(MARKS)
+        if word[1:].isalpha() and word[0] == " ":
+            ids = merge(word.encode())
+            if len(word) < len(chunk):
+                ids = ids + merge(chunk[len(word):].encode())
+        else:
+            ids = [i for piece in find(chunk) for i in merge(piece.encode())]
+        return array("I", ids).tobytes()
 
     return encode
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, end_id: int = 0,
-             cache_size: int = 1 << 17, folder: str | None = None) -> DataFrame:
+             cache_size: int = 3 << 16, folder: str | None = None) -> DataFrame:
     """One row for each document: doc_tokens, checksums of whole pieces, ids of the last piece, task and ranks."""
     dtype = dict(docs.dtypes)[id_col]
     spec = (f"`{id_col}` {dtype}, doc_tokens long, whole_crc array<long>, tail binary, task long, whole_rank long, tail_rank long")
