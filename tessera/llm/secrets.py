@@ -3,8 +3,9 @@
 Base spans are the matches of three patterns. The method then takes every long
 token near a sensitive word and measures its novelty: the bytes that zstandard
 needs for the surrounding text with the token less those without it, primed
-with a dictionary of identifiers and of the corpus's frequent words. Words and
-identifiers that the dictionary or the surroundings know cost a few bytes; a
+with a dictionary of identifiers and of the corpus's frequent words, none of
+which can hold a key. Words and identifiers that the dictionary or the
+surroundings know cost a few bytes; a
 random key costs nearly its entropy. Tokens above ``min_novelty`` bytes a
 character are reported as kind ``novel``.
 """
@@ -19,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.common import id_text, map_text
-from tessera.llm.token_counts import frequent_words
+from tessera.llm.common import id_text, map_text, materialize
 
 #: The base patterns, in the order in which kinds are listed, with the group and least length that count. Fixed values.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -47,7 +47,8 @@ IDENTIFIERS = (
 )
 
 #: What may be a key: a long token with a letter and a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+MIN_CANDIDATE = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{MIN_CANDIDATE},}}")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 
 
@@ -121,8 +122,24 @@ def shown(spans) -> str:
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", size: int = 4096) -> list[str]:
-    """The corpus's frequent words, from summaries of all documents: the learned part of the dictionary."""
-    return frequent_words(docs, text_col, size)
+    """The ``size`` most frequent words that can't hold a key, by exact counts: the learned part of the dictionary.
+
+    A word with a digit or of a candidate's length is left out, however often it
+    occurs: a key that many documents share must stay new. Equal counts are
+    ordered by word, so the list depends on the rows alone.
+    """
+    word = F.col("word")
+    words = docs.select(F.explode(F.split(docs[text_col].cast("string"), r"[ \t\n\x0B\f\r]+")).alias("word"))
+    words = words.filter((word != "") & (F.char_length(word) < MIN_CANDIDATE) & ~word.rlike("[0-9]"))
+    counts = materialize(words.groupBy("word").count(), "secret-words")
+    # Classes of counts, a sixteenth of a doubling wide: only the classes that reach the top are sorted.
+    step = F.floor(F.log2("count") * 16)
+    least, held = 0, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # at most 16 * 63 rows
+        least, held = r["step"], held + r["n"]
+        if held >= size:
+            break
+    return [r["word"] for r in counts.filter(step >= least).orderBy(F.desc("count"), "word").limit(size).collect()]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: list[str] | None = None,
