@@ -7,7 +7,8 @@ with a dictionary of identifiers and of the corpus's frequent words, none of
 which can hold a key. Words and identifiers that the dictionary or the
 surroundings know cost a few bytes; a
 random key costs nearly its entropy. Tokens above ``min_novelty`` bytes a
-character are reported as kind ``novel``.
+character are reported as kind ``novel``. The lines of a key body are measured
+one by one, to its END line or as far as adjacent lines hold a token.
 """
 
 from __future__ import annotations
@@ -51,6 +52,14 @@ MIN_CANDIDATE = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{MIN_CANDIDATE},}}")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 
+#: What stands between two adjacent lines of a key: one line break, real or escaped, with quotes and indentation. Fixed values.
+_BREAK = r"(?:\\r)?(?:\\n)?[ \t\"'`,;+]{0,64}(?:\r\n?|\n|(?:\\r)?\\)[ \t\"'`+>#*|]{0,64}"
+GAP = re.compile(_BREAK)
+TAIL = re.compile(_BREAK + r"([A-Za-z0-9+/_=]{1,19})(?![A-Za-z0-9+/_=.-])")
+ENDS = re.compile(r"(?:\\r)?(?:\\n)?[\s\"'`,;+>#*|]{0,64}-----END")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)?")
+_END = re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY")
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the patterns' matches, leftmost without overlap for each kind.
@@ -82,33 +91,131 @@ class Novelty:
         return len(self.compress(whole)) - len(self.compress(around))
 
 
-def novel_spans(text: str, novelty: Novelty, base: list[tuple[int, int, int]], reach: int, window: int, min_novelty: float) -> list[tuple[int, int, int]]:
-    """Spans of incompressible tokens that follow a sensitive word within ``reach`` characters and aren't base spans."""
-    found = []
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the bodies between a private key's BEGIN and END lines."""
+    if "-----BEGIN" not in text:
+        return []
+    begins = [(m.end(), m.end(1)) for m in _BEGIN.finditer(text)]
+    out, last = [], len(text)
+    for start, named in reversed(begins):
+        if named >= 0 and (m := _END.search(text, start, last)):
+            out.append((start, m.start()))
+        last = start  # no body runs on into the next block
+    return out[::-1]
+
+
+def sensitive_tokens(text: str, reach: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
+    """(start, end, body's number, measured) of the tokens in a sensitive context.
+
+    That is within ``reach`` characters after a sensitive word, in a private
+    key's block, or on the line after such a token. Tokens of adjacent lines
+    are one body. Base spans aren't measured, but carry the context on.
+    """
+    out: list[tuple[int, int, int, bool]] = []
     marks = [m.end() for m in _SENSITIVE.finditer(text)]
     if not marks:
-        return found
+        return out
+    blocks = key_blocks(text)
     taken = sorted((s, e) for s, _, e in base)
-    at = t = 0
+    at = t = b = body = 0
+    carried = -1  # end of the token before, if its context holds
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         while at < len(marks) and marks[at] < start - reach:
             at += 1
-        if at == len(marks):
+        while b < len(blocks) and blocks[b][1] <= start:
+            b += 1
+        if at == len(marks) and b == len(blocks) and carried < 0:
             break
-        if marks[at] > end:
+        blocked = b < len(blocks) and blocks[b][0] <= start
+        follows = carried >= 0 and GAP.fullmatch(text, carried, start) is not None
+        if not (blocked or follows or (at < len(marks) and marks[at] <= end)):
+            carried = -1
+            continue
+        token = m.group()
+        if not blocked and (not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token)):
+            carried = -1
             continue
         while t < len(taken) and taken[t][1] <= start:
             t += 1
-        if t < len(taken) and taken[t][0] < end:
-            continue
-        token = m.group()
-        if not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
+        body += not follows
+        out.append((start, end, -1 - b if blocked else body, not (t < len(taken) and taken[t][0] < end)))
+        carried = end
+    return out
+
+
+def without(text: str, start: int, end: int, masks: list[tuple[int, int]]) -> str:
+    """text[start:end] without the masked places, which are in order."""
+    out = []
+    for s, e in masks:
+        if e > start and s < end:
+            out.append(text[start:max(start, s)])
+            start = max(start, e)
+    return "".join(out) + text[start:end]
+
+
+def copies_of(core: str, text: str, left: int, start: int, end: int, right: int) -> list[tuple[int, int]]:
+    """Where ``core`` stands in text[left:right] besides text[start:end]."""
+    out, at = [], text.find(core, left, right) if core else -1
+    while at >= 0:
+        if at + len(core) <= start or at >= end:
+            out.append((at, at + len(core)))
+        at = text.find(core, at + len(core), right)
+    return out
+
+
+def novel_spans(text: str, novelty: Novelty, base: list[tuple[int, int, int]], reach: int, window: int, min_novelty: float) -> list[tuple[int, int, int]]:
+    """Spans of incompressible tokens in a sensitive context that aren't base spans.
+
+    A token's surroundings are taken without other copies of it, and without the
+    other lines of its body, as random lines share enough characters to make
+    each other look known. Outside a private key's block a line must be half as
+    new beside its body's lines too, so lists of similar names stay. The short
+    last line of a body goes with the line before it.
+    """
+    found = []
+    tokens = sensitive_tokens(text, reach, base)
+    low = 0
+    for i, (start, end, body, measured) in enumerate(tokens):
+        if not measured:
             continue
-        cost = novelty.bytes_of(text[max(0, start - window):start], token, text[end:end + window])
-        if cost >= min_novelty * len(token):
+        token = text[start:end]
+        core = token.strip("+/_=.-")
+        left, right = max(0, start - window), end + window
+        while tokens[low][1] <= left:
+            low += 1
+        copies, lines = copies_of(core, text, left, start, end, right), []
+        for k in range(low, len(tokens)):
+            s, e, other, _ = tokens[k]
+            if s >= right:
+                break
+            if k == i:
+                continue
+            if text[s:e].strip("+/_=.-") in token:
+                copies.append((s, e))
+            elif other == body:
+                lines.append((s, e))
+
+        def share(masks: list[tuple[int, int]]) -> float:
+            masks = sorted(masks)
+            return novelty.bytes_of(without(text, left, start, masks), token, without(text, end, right, masks)) / len(token)
+
+        if share(copies + lines) >= min_novelty and (body < 0 or not lines or 2 * share(copies) >= min_novelty):
             found.append((start, 3, end))
-    return found
+    return found + tails(text, tokens, base, found)
+
+
+def tails(text: str, tokens: list[tuple[int, int, int, bool]], base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Last lines shorter than a candidate: before an END line, or padded after two lines of one width."""
+    out = []
+    reported = {e for _, _, e in base} | {e for _, _, e in found}
+    held = {s for s, _, _ in base}
+    for i, (start, end, body, _) in enumerate(tokens):
+        if end in reported and (m := TAIL.match(text, end)) and m.start(1) not in held:
+            before = tokens[i - 1] if i else (0, 0, 0, False)
+            if ENDS.match(text, m.end()) or (m[1].endswith("=") and before[2] == body and before[1] - before[0] == end - start):
+                out.append((m.start(1), 3, m.end(1)))
+    return out
 
 
 def scan_text(text: str, novelty: Novelty, reach: int = 40, window: int = 256, min_novelty: float = 0.8) -> list[tuple[int, int, int]]:
