@@ -35,21 +35,68 @@ MARKED = frozenset(
 #: These mark page headers, but not those inside an article. Fixed values.
 HEADS = frozenset("header head top".split())
 
-# Possessive and bounded repeats keep the scan linear on broken markup.
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^<>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]{0,1000}+\"|'[^']{0,1000}+'|[\"'])*+)>|<[!?][^>]*+(?:>|\Z)|(?P<text>[^<]+|<)",
-    re.DOTALL | re.IGNORECASE)
-NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+# Possessive repeats keep the scan linear on broken markup.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)|<[!?][^>]*+(?:>|\Z)|(?P<text>[^<]+|<)", re.DOTALL)
+#: What ends a tag or opens a quoted value.
+STOP = re.compile(r"[<>]|=\s*+[\"']")
+RAW_END = {t: re.compile(rf"</{t}\s*+>", re.IGNORECASE) for t in RAW.split("|")}
+ATTR = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"']++)))?")
 WORD = re.compile(r"[a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
 def marked(attrs: str, inside: bool) -> bool:
-    words = {w for m in NAMES.finditer(attrs) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+    words = {w for m in ATTR.finditer(attrs) if m[1].lower() in ("class", "id", "role") for w in WORD.findall((m[2] or m[3] or m[4] or "").lower())}
     return bool(words & MARKED) or (not inside and bool(words & HEADS))
 
 
+def tag_end(page: str, at: int, dead: set[int], lone: dict[str, int]) -> int:
+    """Place of the > that ends a tag whose name ends at ``at``, -1 if a < or the page's end comes first.
+
+    Quoted values of any length are passed over; a quote that is never closed
+    is an ordinary character. ``dead`` (quotes that lead to no end) and ``lone``
+    (the first unclosed quote of each kind) are kept over a page, so that no
+    stretch is read again and again.
+    """
+    passed = []
+    while True:
+        m = STOP.search(page, at)
+        if m is None or m[0] == "<":
+            break
+        if m[0] == ">":
+            return m.start()
+        opens, quote = m.end() - 1, m[0][-1]
+        if opens in dead:
+            break
+        passed.append(opens)
+        closes = -1 if opens >= lone.get(quote, len(page)) else page.find(quote, opens + 1)
+        if closes < 0:
+            lone[quote] = min(opens, lone.get(quote, opens))
+        at = (opens if closes < 0 else closes) + 1
+    dead.update(passed)
+    return -1
+
+
+def tokens_of(page: str):
+    """(text, tag, closes, attributes) of a page in order: text or a tag; comments and the content of raw elements are left out."""
+    at, dead, lone = 0, set(), {}
+    while m := TOKEN.match(page, at):
+        at = m.end()
+        if m["text"] is not None:
+            yield m["text"], "", False, ""
+        elif m["tag"] is not None:
+            end = tag_end(page, at, dead, lone)
+            if end < 0:
+                yield "<", "", False, ""
+                at = m.start() + 1
+                continue
+            tag, attrs, at = m["tag"].lower(), page[at:end], end + 1
+            if tag in RAW_END and not m["close"]:
+                close = RAW_END[tag].search(page, at)
+                at = close.end() if close else len(page)
+            yield None, tag, bool(m["close"]), attrs
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """The page's lines in order: (text, characters outside links, in an article or main element, dropped)."""
     out: list[tuple[str, int, bool, bool]] = []
@@ -67,17 +114,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             text.clear()
             links.clear()
 
-    for m in TOKEN.finditer(page):
-        if m["text"] is not None:
-            text.append(m["text"])
+    for plain, tag, closes, attrs in tokens_of(page):
+        if plain is not None:
+            text.append(plain)
             if link:
-                links.append(m["text"])
+                links.append(plain)
             continue
-        if m["raw"] is not None and m["raw"].lower() == "title":
-            end_line()
-        if m["tag"] is None:
+        if tag in RAW_END:
+            if tag == "title":
+                end_line()
             continue
-        tag, closes = m["tag"].lower(), m["close"] == "/"
         if tag in BLOCKS or tag in DROPPED:
             end_line()
         if skip:
@@ -104,9 +150,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         elif tag == "a":
             link = 1
         elif tag not in VOID and tag not in ("html", "body", "h1", "p", "b", "i", "em", "strong", "span"):
-            if tag in DROPPED or (tag == "header" and not article) or (m["attrs"] and marked(m["attrs"], article > 0)):
+            if tag in DROPPED or (tag == "header" and not article) or (attrs and marked(attrs, article > 0)):
                 skip, depth = tag, 1
-        elif tag in ("p", "span") and m["attrs"] and marked(m["attrs"], True):
+        elif tag in ("p", "span") and attrs and marked(attrs, True):
             end_line()
             skip, depth = tag, 1
         if tag in BLOCKS:
