@@ -2,8 +2,10 @@
 
 Markup is stripped to lines, one for each block of text. A line weighs as many
 characters as it has outside links; lines of menus, headers, footers, notices,
-adverts, forms and comments weigh nothing, and where the page marks its article
-so do lines outside it. The weights are summed over sliding windows of lines;
+adverts, forms and comments weigh nothing, unless what marks them also holds the
+page's article or most of its text; a name that is only partly a mark lowers
+the weight. An article is kept whole, its link lines too, where it holds at
+least as much as surges outside it. Else the weights are summed over sliding windows of lines;
 a region surges where the sum first exceeds the threshold and dives where it
 falls to zero. The text between is kept. A page whose windows all stay below
 the threshold keeps its heaviest region.
@@ -34,6 +36,11 @@ MARKED = frozenset(
     "recommended newsletter subscribe subscription login signin signup search toolbar widget widgets pagination pager copyright disclaimer complementary contentinfo".split())
 #: These mark page headers, but not those inside an article. Fixed values.
 HEADS = frozenset("header head top".split())
+#: These say nothing about what a name means. Fixed values.
+NEUTRAL = frozenset("site page box area wrapper container left right block inner outer section panel bar list item items link links".split())
+#: Kinds of containers: never main text, marked by a whole name (or a form), marked by a part of a name.
+FIXED, STRONG, WEAK = 0, 1, 2
+LOWERED = 4  # a line in a container marked by a part of a name weighs a quarter
 
 # Possessive repeats keep the scan linear on broken markup.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)|<[!?][^>]*+(?:>|\Z)|(?P<text>[^<]+|<)", re.DOTALL)
@@ -45,9 +52,17 @@ WORD = re.compile(r"[a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def marked(attrs: str, inside: bool) -> bool:
-    words = {w for m in ATTR.finditer(attrs) if m[1].lower() in ("class", "id", "role") for w in WORD.findall((m[2] or m[3] or m[4] or "").lower())}
-    return bool(words & MARKED) or (not inside and bool(words & HEADS))
+def marked(attrs: str, inside: bool) -> int:
+    """What class, id and role say: 2 if one of their names consists of marked words, 1 if one holds such a word, 0 if none does."""
+    found = 0
+    for m in ATTR.finditer(attrs):
+        if m[1].lower() in ("class", "id", "role"):
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                words = [w for w in WORD.findall(name) if w not in NEUTRAL and not w.isdigit()]
+                hits = sum(w in MARKED or (not inside and w in HEADS) for w in words)
+                if hits:
+                    found = max(found, 2 if hits == len(words) else 1)
+    return found
 
 
 def tag_end(page: str, at: int, dead: set[int], lone: dict[str, int]) -> int:
@@ -97,23 +112,80 @@ def tokens_of(page: str):
             yield None, tag, bool(m["close"]), attrs
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+class Containers:
+    """Dropped elements of a page, in opening order, and what they hold."""
+
+    def __init__(self) -> None:
+        self.kind: list[int] = []
+        self.parent: list[int] = []
+        self.mass: list[int] = []  # characters outside links
+        self.within: list[int] = []  # of these, in an article or main element
+        self.holds: list[int] = []  # of these, in one that stands in the container
+        self.peak: list[int] = []  # the largest windowed sum of its own lines
+
+    def add(self, kind: int, parent: int) -> int:
+        self.kind.append(kind)
+        self.parent.append(parent)
+        for held in (self.mass, self.within, self.holds, self.peak):
+            held.append(0)
+        return len(self.kind) - 1
+
+    def dropped(self, total: int, articles: int, threshold: int) -> list[bool]:
+        """Which containers go, given the page's mass and that of its articles.
+
+        One stays that holds the larger part of the articles' text, or most of
+        the page's where no article stands against it (or a short one, if the
+        lowered weights surge), or, if only a part of a name marks it, whose
+        lowered weights surge.
+        """
+        n = len(self.kind)
+        for c in reversed(range(n)):
+            if (up := self.parent[c]) >= 0:
+                self.mass[up] += self.mass[c] * (self.kind[c] != FIXED)
+                self.within[up] += self.within[c] * (self.kind[c] != FIXED)
+                self.holds[up] += self.holds[c] * (self.kind[c] != FIXED)
+        out = []
+        for c in range(n):
+            stays = self.kind[c] != FIXED and (
+                (2 * self.holds[c] > articles and 4 * self.holds[c] > total)
+                or (2 * self.mass[c] > total and ((rival := articles - self.within[c]) == 0 or (rival < threshold and self.mass[c] >= LOWERED * threshold)))
+                or (self.kind[c] == WEAK and self.peak[c] >= LOWERED * threshold))
+            out.append(not stays or (self.parent[c] >= 0 and out[self.parent[c]]))
+        return out
+
+
+def lines_of(page: str, window: int = 3, threshold: int = 86) -> list[tuple[str, int, bool, bool]]:
     """The page's lines in order: (text, characters outside links, in an article or main element, dropped)."""
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[str, int, bool, int, int, bool]] = []
     text: list[str] = []
     links: list[str] = []
-    article = link = 0
-    skip, depth = "", 0  # the element being dropped, and how many of its name are open
+    held = Containers()
+    stack: list[tuple] = []  # open containers and articles: tag, how many of it were open before, and the state to return to
+    levels: dict[str, list[int]] = {}  # the same numbers by tag
+    opens: dict[str, int] = {}  # how many of each tag are open
+    inside, cur, holder, clean = 0, -1, -1, False  # open articles, innermost container, that around the innermost unmarked article, whether in one
+    link = False
 
     def end_line() -> None:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
                 linked = len(" ".join(html.unescape("".join(links)).split()))
-                out.append((line, max(0, len(line) - linked), article > 0, bool(skip)))
+                out.append((line, max(0, len(line) - linked), inside > 0, cur, holder, clean))
             text.clear()
             links.clear()
 
+    def enter(tag: str) -> None:
+        level = opens.get(tag, 0)
+        stack.append((tag, level, inside, cur, holder, clean))
+        levels.setdefault(tag, []).append(level)
+
+    def leave() -> None:
+        nonlocal inside, cur, holder, clean
+        end_line()
+        tag, opens[tag], inside, cur, holder, clean = stack.pop()
+        levels[tag].pop()
+
     for plain, tag, closes, attrs in tokens_of(page):
         if plain is not None:
             text.append(plain)
@@ -126,68 +198,99 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag in BLOCKS or tag in DROPPED:
             end_line()
-        if skip:
-            if tag == skip and tag not in VOID:
-                depth += -1 if closes else 1
-                if not depth:
-                    skip = ""
-            elif closes and tag in ("article", "main", "body", "html"):
-                skip = ""  # its end tag is missing
-            if skip:
-                continue
-            if closes:
-                if tag in ("article", "main"):
-                    article = max(0, article - 1)
-                continue
+            if stack and stack[-1][0] == "p" and tag != "br" and not (tag == "p" and closes):
+                leave()  # a paragraph holds no block
+        if tag in ("body", "html"):
+            while stack:
+                leave()  # end tags are missing
+            link = False
+            continue
         if closes:
-            if tag in ("article", "main"):
-                article = max(0, article - 1)
-            elif tag == "a":
-                link = max(0, link - 1)
+            if tag == "a":
+                link = False
+            if opens.get(tag):
+                opens[tag] -= 1
+                if levels.get(tag) and levels[tag][-1] >= opens[tag]:
+                    while stack[-1][0] != tag:
+                        leave()  # end tags are missing
+                    leave()
+            continue
+        if tag in VOID:
             continue
-        if tag in ("article", "main"):
-            article += 1
-        elif tag == "a":
-            link = 1
-        elif tag not in VOID and tag not in ("html", "body", "h1", "p", "b", "i", "em", "strong", "span"):
-            if tag in DROPPED or (tag == "header" and not article) or (attrs and marked(attrs, article > 0)):
-                skip, depth = tag, 1
-        elif tag in ("p", "span") and attrs and marked(attrs, True):
+        kind = -1
+        if tag == "a":
+            link = True
+        elif tag in ("form", "fieldset"):
+            kind = STRONG
+        elif tag in DROPPED or (tag == "header" and not inside):
+            kind = FIXED
+        elif attrs and tag not in ("h1", "b", "i", "em", "strong"):
+            kind = (-1, WEAK, STRONG)[marked(attrs, inside > 0 or tag in ("p", "span"))]
+        if kind >= 0 or tag in ("article", "main"):
             end_line()
-            skip, depth = tag, 1
+            enter(tag)
+            if kind >= 0:
+                cur = held.add(kind, cur)
+            if tag in ("article", "main"):
+                inside += 1
+                if kind < 0:
+                    holder, clean = cur, True
+        opens[tag] = opens.get(tag, 0) + 1
         if tag in BLOCKS:
-            link = 0  # an unclosed link ends with its block
+            link = False  # an unclosed link ends with its block
     end_line()
-    return out
 
+    total = articles = 0
+    fixed: list[bool] = []
+    for c, kind in enumerate(held.kind):
+        fixed.append(kind == FIXED or (held.parent[c] >= 0 and fixed[held.parent[c]]))
+    recent: dict[int, list[int]] = {}
+    for _, weight, _, at, around, whole in out:
+        if at >= 0 and fixed[at]:
+            continue
+        total += weight
+        articles += weight * whole
+        if at >= 0:
+            held.mass[at] += weight
+            held.within[at] += weight * whole
+            last = recent.setdefault(at, [])
+            last.append(weight)
+            held.peak[at] = max(held.peak[at], sum(last[-window:]))
+        if whole and around >= 0:
+            held.holds[around] += weight
+    gone = held.dropped(total, articles, threshold)
+    return [(line, weight, within, at >= 0 and gone[at]) for line, weight, within, at, _, _ in out]
 
-def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = 3, threshold: int = 86) -> list[str]:
-    """Lines between the surge and dive points of the windowed weights."""
-    has_article = any(inside and not dropped for _, _, inside, dropped in lines)
-    weights = [0 if dropped or (has_article and not inside) else w for _, w, inside, dropped in lines]
-    n = len(lines)
+
+def surges(weights: list[int], window: int, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs from a surge to its dive whose windowed sum reaches ``least``."""
+    n = len(weights)
     sums = [sum(weights[i:i + window]) for i in range(n)]
-    peak = max(sums, default=0)
-    if not peak:
-        return []
-    least = 1 if has_article else min(threshold, peak)
-    kept, i = [], 0
+    found, i = [], 0
     while i < n:
-        if not sums[i]:
-            i += 1
-            continue
         j, top = i, 0
         while j < n and sums[j]:  # from the first mass in the window to the dive
             top = max(top, sums[j])
             j += 1
-        if top >= least:
-            kept += [k for k in range(i, j) if not lines[k][3] and (lines[k][2] or not has_article) and (weights[k] or has_article)]
-        i = j
-    return [lines[k][0] for k in kept]
+        if top >= max(1, least):
+            found.append((i, j))
+        i = max(j, i + 1)
+    return found
+
+
+def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = 3, threshold: int = 86) -> list[str]:
+    """The article's lines, or where the text outside surges to more than it holds, those between the surge and dive points."""
+    weights = [0 if dropped else w for _, w, _, dropped in lines]
+    article = sum(w for w, line in zip(weights, lines) if line[2])
+    outside = [0 if line[2] else w for w, line in zip(weights, lines)]
+    if article and article >= sum(sum(outside[i:j]) for i, j in surges(outside, window, threshold)):
+        return [line for line, _, inside, dropped in lines if inside and not dropped]
+    peak = max((sum(weights[i:i + window]) for i in range(len(weights))), default=0)
+    return [lines[k][0] for i, j in surges(weights, window, min(threshold, peak)) for k in range(i, j) if weights[k]]
 
 
 def page_text(page: str, window: int = 3, threshold: int = 86) -> str:
-    return " ".join(main_lines(lines_of(page), window, threshold)) if page else ""
+    return " ".join(main_lines(lines_of(page, window, threshold), window, threshold)) if page else ""
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
