@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bitslice_topk, bpe_monoid, html_lines, lang_id, packing, secrets, simhash, suffix_dedup, syncmers, token_counts
+from tessera.llm import (bitslice_topk, bpe_automaton, bpe_monoid, html_lines, lang_id, merkle, packing, secrets, simhash, suffix_dedup, syncmers,
+                         token_counts, whitening)
 from tessera.llm.common import table
 
 
@@ -50,12 +51,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.dataset_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.encode_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_extract_main_text, op3_suffix_dedup, op4_token_counts, op5_bpe_round_trip, op6_bitslice_topk, op7_pack_documents,
-    op8_syncmer_fingerprints, op9_simhash_groups, op10_secret_scan)}
+    op8_syncmer_fingerprints, op9_simhash_groups, op10_secret_scan, op11_merkle_manifest, op12_automaton_bpe, op13_whitening)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {
+    "op11_merkle_manifest": merkle.oracle(),
     "op6_bitslice_topk": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
