@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import configure
 
-from tessera.plans import (oracle_prep, oracle_profile, oracle_quality, oracle_series,
+from tessera.plans import (forest_queries, oracle_prep, oracle_profile, oracle_quality, oracle_series,
                            oracle_trace, model_queries, prep_queries, profile_queries, quality_queries,
                            series_queries, trace_queries)
 
@@ -65,14 +65,15 @@ def _queries() -> dict[str, QueryFn]:
         "gamma_rules": prep_queries.gamma_rules,
         "centroid_kernel": prep_queries.centroid_kernel,
         "asof_views": prep_queries.asof_views,
+        "random_tree_levels": forest_queries.random_tree_levels,
         # iterative model fits: rows-only check (no SQL oracle)
-        "tree_importance": model_queries.tree_importance,
-        "forest_cv": model_queries.forest_cv,
+        "tree_importance": forest_queries.tree_importance,
+        "forest_cv": forest_queries.forest_cv,
         "rff_svm_folds": model_queries.rff_svm_folds,
         "calibrated_votes": model_queries.calibrated_votes,
         "kernel_alignment": model_queries.kernel_alignment,
         "linear_svm_importance": model_queries.linear_svm_importance,
-        "forest_top_n_test": model_queries.forest_top_n_test,
+        "forest_top_n_test": forest_queries.forest_top_n_test,
         "stratified_folds": model_queries.stratified_folds,
     }
     return q
@@ -85,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_profile.ORACLE)
     out.update(oracle_quality.ORACLE)
     out.update(oracle_prep.ORACLE)
+    out.update(forest_queries.ORACLE)
     return {k: v for k, v in out.items() if k in _queries()}
