@@ -132,7 +132,8 @@ def _best(features: np.ndarray, scores: np.ndarray) -> np.ndarray:
 
 def grow_tree(x: np.ndarray, y: np.ndarray, classes: int, weights: np.ndarray, forest: Forest, number: int) -> dict[str, list]:
     """One tree over the rows x, y; lists by node, the root first, levels in turn."""
-    d = x.shape[1]
+    d, bits = x.shape[1], len(y).bit_length()
+    unit = np.array([1 << bits * c for c in range(classes)], np.int64 if bits * classes < 63 else object)
     k1, k2 = (np.array([v], np.int64) for v in root_keys(forest.seed, number))
     counts = np.bincount(y, minlength=classes)[None, :].astype(np.int64)
     out: dict[str, list] = {f: [] for f in _FIELDS[3:]}
@@ -148,15 +149,16 @@ def grow_tree(x: np.ndarray, y: np.ndarray, classes: int, weights: np.ndarray, f
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             own = np.repeat(starts[wanted] - first, sizes) + np.arange(len(at))
             cand = candidates(k1[wanted], k2[wanted], d, skip, k)
-            values = x[rows[own]] if cand.shape[1] == d else x[rows[own][:, None], cand[at]]
+            values = x.take(rows[own], axis=0) if cand.shape[1] == d else x.take(rows[own][:, None] * d + cand.take(at, axis=0))
             low, high = np.minimum.reduceat(values, first, axis=0), np.maximum.reduceat(values, first, axis=0)
             valid = high > low
             if skip:  # beyond the first k only the first feature that varies
                 valid &= np.cumsum(valid, axis=1) == 1
             cuts = cut_points(k1[wanted], k2[wanted], cand, low, high)
-            left = values <= cuts[at]
-            label = y[rows[own]]
-            by_class = np.stack([np.add.reduceat(left & (label == c)[:, None], first, axis=0, dtype=np.int64) for c in range(classes)], axis=-1)
+            left = values <= cuts.take(at, axis=0)
+            # counts of all classes in one number, each in its bits
+            by_class = np.add.reduceat(left * unit[y[rows[own]]][:, None], first, axis=0)
+            by_class = np.stack([by_class >> bits * c & (1 << bits) - 1 for c in range(classes)], axis=-1)
             total = counts[wanted]
             scores = np.where(valid, split_scores(by_class, total[:, None, :], weights), -np.inf)
             best = _best(cand, scores)
@@ -578,10 +580,13 @@ def grid_accuracy(table: DataFrame, width: int, classes: int, points: Sequence[P
                 f, w = forests[i], weights[i]
                 out = fold == f.held_out
                 tree = _arrays(grow_tree(x[~out], y[~out], classes, w, f, number))
+                told = {}
                 for at, p in enumerate(points):
                     if p.k == f.k and number < p.trees:
-                        own = sums.setdefault(at, np.zeros((len(y), classes)))
-                        own[out] += _votes(tree, w, x[out], p.min_split, p.max_depth)
+                        read = (p.min_split, p.max_depth)
+                        if read not in told:
+                            told[read] = _votes(tree, w, x[out], *read)
+                        sums.setdefault(at, np.zeros((len(y), classes)))[out] += told[read]
         for at, own in sums.items():
             seen = np.flatnonzero(own.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), at, np.int32)), pa.array(seen), *(pa.array(own[seen, c]) for c in range(classes))], names=["point", "at", *names])
