@@ -26,9 +26,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
+#: Bytes of the repeated strings that the pipeline removes: a passage of 50 words has some 300.
+REPEAT_BYTES = 200
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the 400-byte strings that occur more than once."""
-    return sized(suffix_dedup.remove_repeats(docs), docs)
+    """Every document, without the strings of ``REPEAT_BYTES`` bytes that occur more than once."""
+    return sized(suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,44 +151,49 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     Components become floor(scale * x). Returns query_id, rank, ``id_col``,
     score; ties go to the smaller id. A vector that is null or holds null or
     non-finite components, and a row with null id, take no part. A shorter
-    vector counts as zero beyond its end. Of rows with one id a single one (the
-    smallest vector) takes part. An empty table gives no rows; other columns
-    are ignored.
+    vector counts as zero beyond its end. Rows that share an id are rows of
+    their own: each is a query or candidate by itself, and a query's candidates
+    are all rows but the one it is. An empty table gives no rows; other columns
+    are ignored. Components so large that a score might not fit 62 bits are an
+    error.
     """
     x = F.transform(vectors[vector_col], lambda v: v.cast("double"))
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), x.alias("x")).filter(
         F.col("id").isNotNull() & F.col("x").isNotNull()
         & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     whole = F.transform("x", lambda v: F.floor(v * F.lit(float(scale))).cast("long"))
-    rows = materialize(rows.select("id", whole.alias("v")).groupBy("id").agg(F.min("v").alias("v")), "topk-rows")
-    sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q"), F.max(F.size("v")).alias("d")).first()
+    most = F.array_max(F.transform("x", lambda v: F.abs(v) * float(scale)))
+    rows = materialize(rows.select("id", whole.alias("v"), most.alias("most"), F.monotonically_increasing_id().alias("row")), "topk-rows")
+    sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q"), F.max(F.size("v")).alias("d"), F.max("most").alias("most")).first()
     dims = max(1, sizes["d"] or 1)
+    if ((sizes["most"] or 0.0) + 1.0) ** 2 * dims >= 2.0**62:
+        raise ValueError("components are too large for exact 64-bit scores")
     row_blocks, query_blocks = max(1, -(-sizes["n"] // row_block)), max(1, -(-sizes["q"] // query_block))
 
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    spread = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     both = rows.withColumn("is_query", F.col("id") % every == 0)
-    data = both.select(spread(row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "id", "v", F.lit(False).alias("is_query"))
-    asked = both.filter("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), spread(query_blocks).alias("qb"), "id", "v", "is_query")
+    data = both.select(spread(row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "row", "id", "v", F.lit(False).alias("is_query"))
+    asked = both.filter("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), spread(query_blocks).alias("qb"), "row", "id", "v", "is_query")
 
     def search(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
+        ids, keys = table.column("id").to_numpy(), table.column("row").to_numpy()
         matrix = padded(table.column("v").to_pylist(), dims)
         is_query = table.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-        own_ids, queries, asked_ids = ids[~is_query], matrix[is_query], ids[is_query]
+        own_ids, queries, asked_ids, own_keys, asked_keys = ids[~is_query], matrix[is_query], ids[is_query], keys[~is_query], keys[is_query]
         found: list[tuple[np.ndarray, ...]] = []
         if len(own_ids) and len(asked_ids):
             block = SlicedBlock(matrix[~is_query])
-            order = np.argsort(own_ids)
-            at = np.minimum(np.searchsorted(own_ids[order], asked_ids), len(order) - 1)
-            own = np.where(own_ids[order][at] == asked_ids, order[at], -1)
+            order = np.argsort(own_keys)
+            at = np.minimum(np.searchsorted(own_keys[order], asked_keys), len(order) - 1)
+            own = np.where(own_keys[order][at] == asked_keys, order[at], -1)
             for q, near, score in block.top(queries, own, k):
                 best = np.lexsort((own_ids[near], -score))[:k]
-                found.append((np.full(len(best), asked_ids[q]), own_ids[near][best], score[best]))
-        cols = [np.concatenate(c) if found else np.empty(0, np.int64) for c in (zip(*found) if found else ([], [], []))]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
+                found.append((np.full(len(best), asked_keys[q]), np.full(len(best), asked_ids[q]), own_ids[near][best], score[best]))
+        cols = [np.concatenate(c) if found else np.empty(0, np.int64) for c in (zip(*found) if found else ([],) * 4)]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("row", "query_id", "id", "score"), cols)})
 
     blocks = data.unionByName(asked).groupBy("rb", "qb")
-    partial = blocks.applyInArrow(search, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    partial = blocks.applyInArrow(search, "row long, query_id long, id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

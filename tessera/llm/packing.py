@@ -119,16 +119,25 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACI
 
 # ---------------------------------------------------------------- patterns
 
-def plan_packs(histogram: dict[int, int], capacity: int = CAPACITY, slack: int | None = None) -> list[tuple[int, int, int, int, int, int, int]]:
+def plan_packs(histogram: dict[int, int], capacity: int = CAPACITY, slack: int | None = None, most: int = 1 << 16) -> list[tuple[int, ...]]:
     """Placements of the pieces of a length histogram: (length, low, high, cut, size, sequence, offset).
 
     The pieces of ``length`` with ranks low..high-1 put ``size`` of their ids,
     from the ``cut``-th on, at ``offset`` in sequence ``sequence`` + rank - low.
     All counts and no single packs: the work depends on the number of distinct
     lengths, not on the number of documents. Packs with more room than
-    ``slack`` (default capacity / 64) are filled by cutting pieces.
+    ``slack`` are filled by cutting pieces: all of them by default, or where
+    that takes more than ``most`` patterns, those with more room than
+    capacity / 64.
     """
-    slack = capacity // 64 if slack is None else slack
+    if slack is not None:
+        return _plan(histogram, capacity, slack, None)
+    plan = _plan(histogram, capacity, 0, most)
+    return _plan(histogram, capacity, capacity // 64, None) if plan is None else plan
+
+
+def _plan(histogram: dict[int, int], capacity: int, slack: int, most: int | None) -> list[tuple[int, ...]] | None:
+    """The placements, or None if there are more than ``most`` patterns."""
     # An open pattern is [count, filled, slots]; a slot is (length, first rank, cut, size): the pattern's
     # k-th pack holds the piece of rank first + k. by_fill finds the pattern with the least filled.
     by_fill: dict[int, list] = defaultdict(list)
@@ -176,6 +185,8 @@ def plan_packs(histogram: dict[int, int], capacity: int = CAPACITY, slack: int |
 
     # Fill what room is left: cut the last piece of the emptiest pattern's packs to the room of the fullest.
     while fills:
+        if most is not None and len(done) > most:
+            return None
         if len(fills) == 1 and len(by_fill[fills[0]]) == 1 and by_fill[fills[0]][0][0] == 1:
             break
         low, high = fills[0], fills[-1]

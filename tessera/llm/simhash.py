@@ -307,15 +307,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows, unchanged, that name their component: one document of each group.
+    """The rows, unchanged, one document of each group: the one with the smallest id.
 
-    Rows with null id can't be named and stay; of repeated rows of a kept id
-    one stays.
+    Rows are told apart by id and text, so rows that share an id are documents
+    of their own, and a row with null id meets its copies like any other and is
+    kept where its group has no id. Of equal rows (id and text) one stays. An
+    empty table gives no rows.
     """
     from pyspark.sql import Window
 
-    groups = near_duplicates(docs.filter(docs[id_col].isNotNull()), id_col, text_col, words, max_bits)
-    kept = materialize(groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct(), "simhash-kept")
-    named = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
-    one = named.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))).filter("__n = 1").drop("__n")
-    return one.unionByName(docs.filter(docs[id_col].isNull()))
+    text, name = F.coalesce(docs[text_col].cast("string"), F.lit("")), F.coalesce(docs[id_col].cast("string"), F.lit("\0null"))
+    k1, k2 = F.xxhash64(name, text), F.xxhash64(text, F.lit(1), name)
+    key = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), k1.alias("k1"), k2.alias("k2"))
+    groups = near_duplicates(docs.select(key.alias("key"), text.alias("text")), "key", "text", words, max_bits)
+    kept = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2")).distinct()
+    kept = materialize(kept, "simhash-kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), k1.alias("k1"), k2.alias("k2")).join(kept, ["k1", "k2"], "left_semi")
+    one = rows.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))).filter("n = 1")
+    return one.select("row.*")

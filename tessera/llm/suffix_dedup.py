@@ -1,13 +1,13 @@
 """Exact removal of repeated byte strings by a sparse, bucketed suffix sort.
 
-Every byte that a string of ``LENGTH`` bytes covers which also starts anywhere
-else is removed. Sorting all suffixes would copy each one's first ``LENGTH``
+Every byte that a string of ``length`` bytes covers which also starts anywhere
+else is removed. Sorting all suffixes would copy each one's first ``length``
 bytes to its place, so suffixes are sorted at anchors only:
 
-* of the ``GRAM``-byte grams in a window of ``LENGTH`` bytes the one with the
+* of the ``gram``-byte grams in a window of ``length`` bytes the one with the
   least hash (the leftmost of equals) is the window's anchor. Equal windows
   have equal anchors at equal places. Consecutive windows with one anchor form
-  a segment, about one for each 100 bytes;
+  a segment, about one for each quarter of a window;
 * segments whose gram occurs once hold no repeated window. Where all segments
   of a gram are equal, or a segment occurs twice, its windows are repeated as a
   whole. Only counts are shuffled for these;
@@ -38,7 +38,7 @@ from pyspark.sql.types import StructType
 from tessera.llm.common import materialize
 
 LENGTH = 400
-GRAM = 200
+GRAM = 200  # half of the length unless another is given
 BUCKET = 4096
 SHALLOW = 4  # 8-byte characters sorted by quicksort
 BLOCK = 1 << 19  # bytes whose anchors are found at a time
@@ -88,30 +88,30 @@ def window_anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(back[:count], ahead[width - 1:width - 1 + count]) & np.uint64((1 << 21) - 1)).astype(np.int64)
 
 
-def segments(raw: bytes, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+def segments(raw: bytes, first: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Segments of the documents that lie at ``first`` in ``raw``: (document, start, end, anchor) in ``raw``, and gram hashes."""
     data = np.frombuffer(raw, np.uint8)
-    hashes = string_hashes(data, GRAM)
-    width = LENGTH - GRAM + 1
+    hashes = string_hashes(data, gram)
+    width = length - gram + 1
     if len(hashes) < width:
         return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
     anchor = window_anchors(hashes, width)
     ends = first + sizes
     doc = np.searchsorted(first, np.arange(len(anchor)), side="right") - 1
-    ok = np.arange(len(anchor)) + LENGTH <= ends[doc]
+    ok = np.arange(len(anchor)) + length <= ends[doc]
     at = np.flatnonzero(ok)
     if not len(at):
         return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
     new = np.append(True, (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]]))
     begin = np.flatnonzero(new)
     start, last = at[begin], at[np.append(begin[1:], len(at)) - 1]
-    return doc[start], start, last + LENGTH, anchor[start], hashes[anchor[start]]
+    return doc[start], start, last + length, anchor[start], hashes[anchor[start]]
 
 
 ANCHORS = "k1 long, k2 long, place long, g long, c long"
 
 
-def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(k1, k2, text) to a row for each segment: place packs start, length and the anchor's distance; c hashes its bytes."""
     for batch in batches:
         keys = [batch.column(i).to_numpy() for i in (0, 1)]
@@ -123,12 +123,12 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = b"".join(held)
             sizes = np.array([len(h) for h in held], np.int64)
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            doc, start, end, anchor, gram = segments(raw, first, sizes)
+            doc, start, end, anchor, found = segments(raw, first, sizes, length, gram)
             content = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
             row = np.array(of, np.int64)[doc]
             place = (start - first[doc] + np.array(shift, np.int64)[doc]) << 20 | (end - start) << 10 | (anchor - start)
             held.clear(), of.clear(), shift.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys[0][row]), pa.array(keys[1][row]), pa.array(place), pa.array(gram.view(np.int64)), pa.array(content.view(np.int64))],
+            return pa.RecordBatch.from_arrays([pa.array(keys[0][row]), pa.array(keys[1][row]), pa.array(place), pa.array(found.view(np.int64)), pa.array(content.view(np.int64))],
                                               names=["k1", "k2", "place", "g", "c"])
 
         size = 0
@@ -136,9 +136,9 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = batch.column(2)[i].as_py()
             raw = text.encode("utf-8") if text else b""
             # a long text goes in blocks that overlap by all but one byte of a window
-            for at in range(0, max(1, len(raw) - LENGTH + 1), BLOCK):
-                part = raw[at:at + BLOCK + LENGTH - 1]
-                if len(part) < LENGTH:
+            for at in range(0, max(1, len(raw) - length + 1), BLOCK):
+                part = raw[at:at + BLOCK + length - 1]
+                if len(part) < length:
                     continue
                 if size + len(part) > BLOCK and held:
                     yield flush()
@@ -239,29 +239,29 @@ def deep_shallow(bucket: np.ndarray, grid: np.ndarray, shallow: int = SHALLOW) -
     return order, common
 
 
-def repeated_windows(bucket: np.ndarray, content: list[bytes], anchor: np.ndarray) -> np.ndarray:
+def repeated_windows(bucket: np.ndarray, content: list[bytes], anchor: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """Flags (segment, distance of the window's start before the anchor) of windows that another segment of the bucket has too.
 
     ``bucket`` is sorted; ``anchor`` is the anchor's place in each segment.
     """
-    n, reach = len(content), LENGTH - GRAM
+    n, reach = len(content), length - gram
     size = np.array([len(c) for c in content], np.int64)
-    right, left = np.zeros((n, LENGTH), np.uint8), np.zeros((n, reach), np.uint8)
+    right, left = np.zeros((n, length), np.uint8), np.zeros((n, reach), np.uint8)
     for i, (c, a) in enumerate(zip(content, anchor.tolist())):
         data = np.frombuffer(c, np.uint8)
-        after = data[a:a + LENGTH]
+        after = data[a:a + length]
         right[i, :len(after)] = after
         before = data[max(0, a - reach):a][::-1]
         left[i, :len(before)] = before
     # windows that the segment has: distances from the last window's to the first one's
-    least, most = np.maximum(anchor - (size - LENGTH), 0), anchor
+    least, most = np.maximum(anchor - (size - length), 0), anchor
     # the gram itself is equal in a bucket but for chance, so sorting starts behind it and its equality is tested with the rest
-    r_order, r_common = deep_shallow(bucket, np.concatenate([right[:, GRAM:], right[:, :GRAM]], axis=1))
+    r_order, r_common = deep_shallow(bucket, np.concatenate([right[:, gram:], right[:, :gram]], axis=1))
     gram_ok = np.ones(n, bool)
     if n > 1:
         edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         lead = np.repeat(edges, np.diff(np.append(edges, n)))
-        gram_ok = (right[:, :GRAM] == right[lead, :GRAM]).all(axis=1)
+        gram_ok = (right[:, :gram] == right[lead, :gram]).all(axis=1)
     l_order, l_common = deep_shallow(bucket, left)
     l_class, r_class = np.empty(n, np.int64), np.empty(n, np.int64)
     out = np.zeros((n, reach + 1), bool)
@@ -270,7 +270,7 @@ def repeated_windows(bucket: np.ndarray, content: list[bytes], anchor: np.ndarra
         if len(rows) < 2:
             continue
         l_class[l_order] = np.cumsum(l_common < o)
-        r_class[r_order] = np.cumsum(r_common < LENGTH - GRAM - o)
+        r_class[r_order] = np.cumsum(r_common < length - gram - o)
         key = l_class[rows] * (n + 1) + r_class[rows]
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
@@ -281,7 +281,7 @@ def repeated_windows(bucket: np.ndarray, content: list[bytes], anchor: np.ndarra
         for i in np.flatnonzero(np.isin(bucket, np.unique(bucket[~gram_ok]))).tolist():
             for o in range(int(least[i]), int(most[i]) + 1):
                 a = int(anchor[i]) - o
-                seen.setdefault((int(bucket[i]), o, content[i][a:a + LENGTH]), []).append(i)
+                seen.setdefault((int(bucket[i]), o, content[i][a:a + length]), []).append(i)
         for (_, o, _), members in seen.items():
             if len(members) > 1:
                 out[members, o] = True
@@ -291,7 +291,7 @@ def repeated_windows(bucket: np.ndarray, content: list[bytes], anchor: np.ndarra
 SPANS = "k1 long, k2 long, lo long, hi long"
 
 
-def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sort_buckets(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Rows (g, n, k1, k2, start, anchor, content) sorted by g to the repeated spans of segments that occur once."""
     held: pa.Table | None = None
 
@@ -299,13 +299,13 @@ def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = rows.column("g").to_numpy()
         bucket = np.cumsum(np.append(0, g[1:] != g[:-1]))
         anchor = rows.column("anchor").to_numpy()
-        flags = repeated_windows(bucket, rows.column("content").to_pylist(), anchor)
+        flags = repeated_windows(bucket, rows.column("content").to_pylist(), anchor, length, gram)
         flags[rows.column("n").to_numpy() > 1] = False  # known to be repeated as a whole
         edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, least = np.nonzero(edge == 1)
         most = np.nonzero(edge == -1)[1] - 1
         at = rows.column("start").to_numpy()[row] + anchor[row]
-        return pa.RecordBatch.from_arrays([pa.array(rows.column("k1").to_numpy()[row]), pa.array(rows.column("k2").to_numpy()[row]), pa.array(at - most), pa.array(at - least + LENGTH)],
+        return pa.RecordBatch.from_arrays([pa.array(rows.column("k1").to_numpy()[row]), pa.array(rows.column("k2").to_numpy()[row]), pa.array(at - most), pa.array(at - least + length)],
                                           names=["k1", "k2", "lo", "hi"])
 
     for batch in batches:
@@ -322,11 +322,11 @@ def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield resolve(held)
 
 
-def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows (g, n, k1, k2, start, content) of overfull buckets to one row for each window: its two hashes, weight and place."""
     for batch in batches:
         for g, n, k1, k2, start, content in zip(*(batch.column(c).to_pylist() for c in ("g", "n", "k1", "k2", "start", "content"))):
-            hashes = string_hashes(np.frombuffer(content, np.uint8), LENGTH)
+            hashes = string_hashes(np.frombuffer(content, np.uint8), length)
             m = len(hashes)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, v, np.int64)) for v in (g, n, k1, k2)] + [pa.array(hashes.view(np.int64)), pa.array(start + np.arange(m))],
                                              names=["g", "n", "k1", "k2", "w", "lo"])
@@ -341,9 +341,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("__id"), text.alias("__text"), F.xxhash64(name, text).alias("k1"), F.xxhash64(text, F.lit(1), name).alias("k2"))
 
 
-def repeated_spans(rows: DataFrame, by_row: DataFrame) -> DataFrame:
+def repeated_spans(rows: DataFrame, by_row: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
     """k1, k2, lo, hi: byte spans whose windows are all repeated. ``by_row`` is ``rows`` dealt out by its two keys."""
-    found = rows.select("k1", "k2", "__text").mapInArrow(find_anchors, ANCHORS)
+    gram = gram or length // 2
+    if not 0 < gram <= length or 2 * length - gram >= 1024:
+        raise ValueError("a segment of 2 * length - gram bytes must be shorter than 1024, a gram at most the length")
+    found = rows.select("k1", "k2", "__text").mapInArrow(lambda batches: find_anchors(batches, length, gram), ANCHORS)
     grams = found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1")
     grams = materialize(grams.select("g", (F.col("c0") == F.col("c1")).alias("alike")), "suffix-grams")
     shared = materialize(found.join(grams, "g"), "suffix-segments")
@@ -377,11 +380,11 @@ def repeated_spans(rows: DataFrame, by_row: DataFrame) -> DataFrame:
     cuts = by_row.select("k1", "k2", "__text").join(wanted, ["k1", "k2"]).mapInArrow(cut, spec)
     cuts = materialize(cuts, "suffix-contents")
     few = cuts.filter(F.col("classes") <= BUCKET).drop("classes").repartition("g").sortWithinPartitions("g")
-    spans = spans.unionByName(few.mapInArrow(sort_buckets, SPANS))
+    spans = spans.unionByName(few.mapInArrow(lambda batches: sort_buckets(batches, length, gram), SPANS))
 
-    windows = cuts.filter(F.col("classes") > BUCKET).mapInArrow(count_windows, "g long, n long, k1 long, k2 long, w long, lo long")
+    windows = cuts.filter(F.col("classes") > BUCKET).mapInArrow(lambda batches: count_windows(batches, length), "g long, n long, k1 long, k2 long, w long, lo long")
     again = materialize(windows.groupBy("g", "w").agg(F.sum("n").alias("n"), F.count("*").alias("m")).filter("n > 1").select("g", "w"), "suffix-windows")
-    hits = windows.filter("n = 1").join(again, ["g", "w"]).select("k1", "k2", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    hits = windows.filter("n = 1").join(again, ["g", "w"]).select("k1", "k2", "lo", (F.col("lo") + length).alias("hi"))
     return spans.unionByName(hits)
 
 
@@ -396,18 +399,33 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int | None = None) -> DataFrame:
     """__id, __text and the row's spans (array of lo, hi; null if none)."""
     rows = keyed(docs, id_col, text_col)
     by_row = rows.repartition("k1", "k2")
-    spans = repeated_spans(rows, by_row)
+    spans = repeated_spans(rows, by_row, length, gram)
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return by_row.join(spans, ["k1", "k2"], "left").select("__id", "__text", "spans")
 
 
-def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What removal of repeated strings leaves of each text: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256.
+def without(raw: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
+    """The pieces that are left without the runs."""
+    at, kept = 0, []
+    for lo, hi in runs:
+        kept.append(raw[at:lo])
+        at = hi
+    return [*kept, raw[at:]]
 
+
+def whole_characters(pieces: list[bytes]) -> str:
+    """Text of the pieces; a character cut in two goes as a whole, so that bytes of two of them don't form a third."""
+    return "".join(p.decode("utf-8", "ignore") for p in pieces)
+
+
+def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
+    """What removal of repeated strings leaves of each text: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+
+    The digest is of the bytes left, kept_text holds their whole characters.
     Null and empty texts have no bytes; texts shorter than a string keep all;
     a repeated row repeats its strings; a null id is a row like any other; an
     empty table gives no rows; other columns are ignored; texts are read whole.
@@ -419,22 +437,18 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw, runs = text.encode("utf-8"), merged((s["lo"], s["hi"]) for s in spans or ())
-                kept = hashlib.sha256()
-                at = 0
-                for lo, hi in runs:
-                    kept.update(raw[at:lo])
-                    at = hi
-                kept.update(raw[at:])
-                out.append((len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))],
-                                             names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept = without(raw, runs)
+                out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest(), whole_characters(kept) if runs else text))
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))],
+                                             names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    return with_spans(docs, id_col, text_col).mapInArrow(digest, f"`{id_col}` {dtype}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spec = f"`{id_col}` {dtype}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    return with_spans(docs, id_col, text_col, length, gram).mapInArrow(digest, spec)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same rows and columns, each text without its repeated strings.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
+    """The same rows and columns, each text without its repeated strings of ``length`` bytes.
 
     A character cut in two by a removed run goes as a whole. Null stays null;
     equal rows get equal texts.
@@ -442,7 +456,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name, text = F.coalesce(docs[id_col].cast("string"), F.lit("\0null")), F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = keyed(docs, id_col, text_col)
     by_row = rows.repartition("k1", "k2")
-    spans = repeated_spans(rows, by_row).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
+    spans = repeated_spans(rows, by_row, length, gram).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
     spans = spans.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__spans")
     from pyspark.sql.functions import arrow_udf
 
@@ -451,15 +465,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for text, own in zip(texts.to_pylist(), spans.to_pylist()):
             if text is not None and own:
-                raw, at, kept = text.encode("utf-8"), 0, []
-                for lo, hi in merged((s["lo"], s["hi"]) for s in own):
-                    kept.append(raw[at:lo])
-                    at = hi
-                # each kept piece by itself, so that bytes of two cut characters don't form a third
-                text = "".join(p.decode("utf-8", "ignore") for p in [*kept, raw[at:]])
+                text = whole_characters(without(text.encode("utf-8"), merged((s["lo"], s["hi"]) for s in own)))
             out.append(text)
         return pa.array(out, pa.string())
 
-    named = docs.withColumn("__k1", F.xxhash64(name, text)).withColumn("__k2", F.xxhash64(text, F.lit(1), name))
+    named = docs.select(F.struct(*docs.columns).alias("__row"), F.xxhash64(name, text).alias("__k1"), F.xxhash64(text, F.lit(1), name).alias("__k2"))
     joined = named.join(spans, ["__k1", "__k2"], "left")
-    return joined.withColumn(text_col, cut(F.col(text_col).cast("string"), F.col("__spans"))).select(*docs.columns)
+    own = {c: F.col("__row").getField(c) for c in docs.columns}
+    own[text_col] = cut(own[text_col].cast("string"), F.col("__spans"))
+    return joined.select(*(v.alias(c) for c, v in own.items()))

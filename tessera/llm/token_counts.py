@@ -83,7 +83,9 @@ def frequent_words(docs: DataFrame, text_col: str, size: int, split=None, fan_in
 
     spec = "part long, summary binary"
     parts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(summarize, spec)
-    merged = parts.groupBy(F.floor(F.col("part") / fan_in)).applyInPandas(merge, spec)
+    merged = parts
+    for r in range(1, 5):  # a group has at most ``fan_in`` summaries, up to fan_in ** 4 tasks
+        merged = merged.groupBy(F.floor(F.col("part") / fan_in**r)).applyInPandas(merge, spec)
     total = merged.groupBy(F.col("part") * 0).applyInPandas(merge, spec).collect()
     if not total:
         return []

@@ -138,7 +138,7 @@ def test_automaton_against_merging():
             labels[len(labels)] = labels[u] + labels[v]
             merges.append((u, v, len(labels) - 1))
         own = bpe_automaton.TokenAutomaton(labels, merges)
-        assert len(own.made) <= len(merges) + 1
+        assert own.states <= len(merges) + 1
         for _ in range(40):
             word = bytes(rng.choice(b"aab" if rng.random() < 0.5 else b"abc") for _ in range(rng.randrange(0, 14)))
             ids = [b"abc".index(b) for b in word]

@@ -93,21 +93,22 @@ def test_secret_base_spans(docs, odd):
     rnd = random.Random(4)
     parts = ["password", "Api_Key", "apikey", "token", " = ", ":", "'", '"', "AKIA", "ABCDEFGH12345678", "deadbeefdeadbeef", "0123456789abcdef0", "x", " ", "é", "a/b+c=d.e_f-g12"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
-    texts += [r["text"] or "" for r in docs.unionByName(odd.select(*docs.columns)).collect()]
+    texts += [r["text"] or "" for r in docs.select("text").unionByName(odd.select("text")).collect()]
     assert all(sorted(secrets.base_spans(t)) == naive_base(t) for t in texts)
 
 
 def test_novel_strings_near_sensitive_words():
     novelty = secrets.Novelty(["ordinary", "words"])
-    key = "".join(random.Random(5).choice(string.ascii_letters + string.digits) for _ in range(40))
+    rnd = random.Random(5)
+    key = "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(40))
     text = f"the bearer credential is {key} and ok"
     at = text.index(key)
     assert (at, 3, at + 40) in secrets.scan_text(text, novelty)
-    assert not secrets.scan_text("the bearer credential is abcdefghijklmnopqrstuvwxyz0123456789abcd and", novelty) or True
     assert not secrets.novel_spans("the session credential getElementById1.getElementById2.documentation", novelty, [], 40, 256, 0.8)
     assert not secrets.scan_text(f"plain words {key} and more", novelty)
-    # known from its surroundings: not new
-    assert not secrets.scan_text(f"{key} the bearer credential is {key} and ok", novelty)
+    # written twice: no reason to pass over the one beside the sensitive word
+    twice = f"{key} the bearer credential is {key} and ok"
+    assert (twice.rindex(key), 3, twice.rindex(key) + 40) in secrets.scan_text(twice, novelty)
 
 
 def test_secret_query(docs, odd, none):
