@@ -6,13 +6,16 @@ gadget: the arcs of u go to a copy of their state that no longer reads v, and
 wherever u could be read, t can be read too, to where v led. So a state is
 named by the last token, and each merge makes at most one state.
 
-States are kept as their gadgets made them, a parent and the one token taken
-away, and tokens by their left part; ``reads`` follows these default arcs, and
+States are kept as their gadgets made them: by the token whose arcs lead there
+and the gadget, with the one token taken away. Arcs that a gadget left alone are
+default arcs, followed by the token's left part or to the state that was copied;
 a bounded cache keeps the transitions in use. A pre-split word is encoded by
-table-driven transitions: byte arcs lead from every place of the word through
-the labels of the tokens that start there, the automaton admits one last token
-for each prefix, and the tokens on the way back from the word's end are its
-encoding. Decoding emits the labels of the arcs.
+table-driven transitions on its bytes: every prefix of a word has exactly one
+path, so the tokens that may be under way, each with the token before it, make
+one byte state, and the next byte leads to the next state and tells the last
+token of the longer prefix. These transitions are made from the automaton when
+they are first needed and kept in a bounded table. The tokens on the way back
+from a word's end are its encoding. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -26,9 +29,12 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
+from tessera.llm.bpe_monoid import MARKS, split_pattern
 from tessera.llm.common import BoundedCache, ChunkIds, held, id_text, map_text, tokenizer_path
 
-START = 0
+#: In byte states a place is a node of the labels' table and, in the low 24 bits, the token before it.
+_NONE = (1 << 24) - 1
+_ALONE = (_NONE,)
 
 
 class TokenAutomaton:
@@ -38,44 +44,56 @@ class TokenAutomaton:
         self.labels = labels
         size = max(labels, default=-1) + 1
         merged = {t for _, _, t in merges}
-        # gadget that made a token (-1: a byte, None: no arc reads it) and its left part
+        # gadget that made a token (-1: a byte, None: no arc reads it) and its parts
         self.born: list[int | None] = [-1 if i in labels and i not in merged else None for i in range(size)]
-        self.left = list(range(size))
-        # state that a token's arcs lead to; state -> (gadget, parent, token taken away)
-        self.target = [START] * size
-        self.made, self.parent, self.taken = [-1], [START], [-1]
+        self.left, self.right = list(range(size)), list(range(size))
+        # (u, v) -> gadget whose state, where the arcs of u lead from then on, has no arc for v
+        self.taken: dict[int, int] = {}
         for rank, (u, v, t) in enumerate(merges):
             self._gadget(rank, u, v, t)
         self._step: dict[int, int] = {}
         self._token: list[int] = [-1]
+        self._size = [0] * size
         for token, born in enumerate(self.born):
             if born is not None:
                 self._spell(labels[token], token)
-        self._reads = BoundedCache(lambda key: self._follow(key >> 32, key & 0xFFFFFFFF), cache_size)
+                self._size[token] = len(labels[token])
+        self._whole = {label: token for token, label in labels.items() if self.born[token] is not None}
+        self._inner = {key >> 8 for key in self._step}  # spelled so far, and some label goes on
+        self._limit = 4 * cache_size
+        self._begin()
+        last = len(merges)
+        self._reads = BoundedCache(lambda key: self._follow(key >> 32, last, key & 0xFFFFFFFF), cache_size)
+
+    @property
+    def states(self) -> int:
+        """The start state and one for each gadget."""
+        return 1 + len(self.taken)
 
     def _gadget(self, rank: int, u: int, v: int, t: int) -> None:
-        if self.born[u] is None or self.born[v] is None or self.born[t] is not None or not self._follow(self.target[u], v):
+        if self.born[u] is None or self.born[v] is None or self.born[t] is not None or not self._follow(u, rank - 1, v):
             return  # u is never followed by v here, so the merge never applies
-        self.born[t], self.left[t] = rank, u
-        self.target[t] = self.target[v]
-        self.made.append(rank)
-        self.parent.append(self.target[u])
-        self.taken.append(v)
-        self.target[u] = len(self.made) - 1
-
-    def _follow(self, state: int, token: int) -> bool:
-        """Whether ``state`` has an arc for ``token``."""
-        born, made, left, parent, taken = self.born, self.made, self.left, self.parent, self.taken
+        self.taken[u << 32 | v] = rank
+        self.born[t], self.left[t], self.right[t] = rank, u, v
+
+    def _follow(self, after: int, rank: int, token: int) -> bool:
+        """Whether the state that ``after`` leads to, as the gadgets up to ``rank`` made it, has an arc for ``token``.
+
+        That state is one of a chain: a gadget for each merge with ``after`` on
+        the left, from where the right part of ``after`` led when it was made.
+        """
+        born, left, right, taken = self.born, self.left, self.right, self.taken
         while True:
-            age = born[token]
-            if age >= made[state]:  # the token came after the state (or with it): as its left part
+            gone = taken.get(after << 32 | token)
+            if gone is not None and gone <= rank:
+                return False
+            age, fork = born[token], born[after]
+            if age >= fork:  # the token came later: read where its left part could be read
                 if age < 0:
                     return True
-                token = left[token]
-            elif token == taken[state]:
-                return False
+                token, rank = left[token], min(rank, age)
             else:
-                state = parent[state]
+                after, rank = right[after], fork - 1
 
     def _spell(self, label: bytes, token: int) -> None:
         node = 0
@@ -88,32 +106,64 @@ class TokenAutomaton:
             node = to
         self._token[node] = token
 
-    def reads(self, state: int, token: int) -> bool:
-        return self._reads[state << 32 | token]
+    def _advance(self, state: int, byte: int) -> int:
+        """Next byte state and the last token of the longer prefix, packed; kept in the transition table.
+
+        A byte state holds, for each place where a token may have begun, the
+        token before it and how far the labels are spelled. Of the tokens that
+        end here the automaton reads exactly one.
+        """
+        if len(self._next) >= self._limit:  # the table starts anew; only speed depends on it
+            held = self._places[state]
+            self._begin()
+            state = self._named(held)
+        step, token_at, inner, reads, found, places = self._step, self._token, self._inner, self._reads, -1, []
+        for place in self._places[state]:
+            node = step.get(place >> 24 << 8 | byte)
+            if node is None:
+                continue
+            token, before = token_at[node], place & _NONE
+            if token >= 0 and found < 0 and (before == _NONE or reads[before << 32 | token]):
+                found = token
+            if node in inner:
+                places.append(node << 24 | before)
+        if found < 0:
+            raise ValueError(f"byte {byte} has no token")
+        places.append(found)  # a token may begin at the labels' root
+        got = self._next[state << 8 | byte] = self._named(tuple(places)) << 24 | found
+        return got
+
+    def _begin(self) -> None:
+        self._next: dict[int, int] = {}
+        self._name: dict[tuple, int] = {}
+        self._places: list[tuple] = []
+        self._named(_ALONE)  # state 0
+
+    def _named(self, places: tuple) -> int:
+        state = self._name.get(places)
+        if state is None:
+            state = self._name[places] = len(self._places)
+            self._places.append(places)
+        return state
 
     def encode(self, word: bytes) -> list[int]:
-        """Token ids of one pre-split word."""
-        n = len(word)
-        last, state = [-1] * (n + 1), [START] * (n + 1)
-        step, token_at, target, reads = self._step, self._token, self.target, self._reads
-        for begin in range(n):
-            here = state[begin] << 32
-            if begin and last[begin] < 0:
-                raise ValueError(f"byte {word[begin - 1]} has no token")
-            node = 0
-            for end in range(begin, n):
-                node = step.get(node << 8 | word[end])
-                if node is None:
-                    break
-                token = token_at[node]
-                if token >= 0 and last[end + 1] < 0 and reads[here | token]:
-                    last[end + 1], state[end + 1] = token, target[token]
-        if n and last[n] < 0:
-            raise ValueError(f"byte {word[n - 1]} has no token")
-        out = []
+        """Token ids of one pre-split word: the last token of every prefix, then the way back from the end."""
+        whole = self._whole.get(word)
+        if whole is not None:  # the start state reads every token
+            return [whole]
+        state, last, follow = 0, [], self._next.get
+        for byte in word:
+            got = follow(state << 8 | byte)
+            if got is None:
+                got = self._advance(state, byte)
+                follow = self._next.get
+            last.append(got & _NONE)
+            state = got >> 24
+        out, n, size = [], len(word), self._size
         while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
+            token = last[n - 1]
+            out.append(token)
+            n -= size[token]
         return out[::-1]
 
     def decode(self, ids: Sequence[int]) -> bytes:
@@ -125,7 +175,6 @@ class AutomatonTokenizer:
     """Texts to ids and back as a tokenizer file of the byte-level kind says."""
 
     def __init__(self, path: str, cache_size: int = 1 << 17) -> None:
-        from tessera.llm.bpe_monoid import split_pattern
         from tessera.llm.packing import byte_level_chars
 
         with open(path, encoding="utf-8") as f:
@@ -148,21 +197,32 @@ class AutomatonTokenizer:
                 raise ValueError("added tokens that take in their surroundings are not supported")
             self.added[t["content"]] = t["id"]
             labels[t["id"]] = label(t["content"])
-        self._marks = re.compile("|".join(f"({re.escape(m)})" for m in sorted(self.added, key=len, reverse=True))) if self.added else None
+        self._marks = re.compile("(" + "|".join(re.escape(m) for m in sorted(self.added, key=len, reverse=True)) + ")")
         self._find = split_pattern().findall
+        self._words = BoundedCache(self._word, cache_size // 4)
         self._chunks = ChunkIds(self._chunk, cache_size)
 
     def _chunk(self, chunk: str) -> bytes:
         """Packed ids of a piece of text in which no match of the split pattern is cut."""
-        ids = array("I")
-        parts = [p for p in self._marks.split(chunk) if p] if self._marks and any(m in chunk for m in self.added) else [chunk]
-        for part in parts:
+        # letters and then marks without an apostrophe are two matches; the pattern tells for all else
+        word = chunk.rstrip(MARKS)
+        if word[1:].isalpha() and word[0] == " " and not self._marked(chunk):
+            if len(word) == len(chunk):
+                return self._word(word)
+            return self._chunks.spaced[word[1:]] + self._words[chunk[len(word):]]
+        packed: list[bytes] = []
+        for part in self._marks.split(chunk) if self._marked(chunk) else [chunk]:
             if part in self.added:
-                ids.append(self.added[part])
+                packed.append(array("I", [self.added[part]]).tobytes())
             else:
-                for word in self._find(part):
-                    ids.extend(self.automaton.encode(word.encode()))
-        return ids.tobytes()
+                packed += map(self._words.__getitem__, self._find(part))
+        return b"".join(packed)
+
+    def _marked(self, chunk: str) -> bool:
+        return any(m in chunk for m in self.added)
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.automaton.encode(word.encode())).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         return self._chunks.ids(text)
