@@ -10,7 +10,7 @@ from tessera.session import configure
 
 from tessera.plans import (forest_queries, oracle_prep, oracle_profile, oracle_quality, oracle_series,
                            oracle_trace, model_queries, prep_queries, profile_queries, quality_queries,
-                           series_queries, trace_queries)
+                           series_queries, svm_queries, trace_queries)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -66,11 +66,14 @@ def _queries() -> dict[str, QueryFn]:
         "centroid_kernel": prep_queries.centroid_kernel,
         "asof_views": prep_queries.asof_views,
         "random_tree_levels": forest_queries.random_tree_levels,
+        "sigmoid_fit": svm_queries.sigmoid_fit,
         # iterative model fits: rows-only check (no SQL oracle)
         "tree_importance": forest_queries.tree_importance,
         "forest_cv": forest_queries.forest_cv,
-        "rff_svm_folds": model_queries.rff_svm_folds,
-        "calibrated_votes": model_queries.calibrated_votes,
+        "svm_grid": svm_queries.svm_grid,
+        "svm_classes": svm_queries.svm_classes,
+        "rff_svm_folds": svm_queries.rff_svm_folds,
+        "calibrated_votes": svm_queries.calibrated_votes,
         "kernel_alignment": model_queries.kernel_alignment,
         "linear_svm_importance": model_queries.linear_svm_importance,
         "forest_top_n_test": forest_queries.forest_top_n_test,
@@ -87,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle_quality.ORACLE)
     out.update(oracle_prep.ORACLE)
     out.update(forest_queries.ORACLE)
+    out.update(svm_queries.ORACLE)
     return {k: v for k, v in out.items() if k in _queries()}
