@@ -47,7 +47,7 @@ def run_globals(parsed: DataFrame, keys: Sequence[str], window_s: float = S.WIND
                 max_windows: int | None = None) -> DataFrame:
     """Per-run scalars: first_ts (T3), max_wid, first encryption ts (T8), slope."""
     anchor = materialize(run_anchor(parsed, keys), "run-anchor")
-    return run_scalars(window_partials(with_window_ids(parsed, anchor, keys, window_s), keys, sets), keys, max_windows)
+    return run_scalars(run_partials(with_window_ids(parsed, anchor, keys, window_s), keys, sets), keys, max_windows)
 
 
 def run_anchor(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -87,11 +87,7 @@ def window_partials(with_wid: DataFrame, keys: Sequence[str],
     at the next level; IP is null on every other line.
     """
     keys = list(keys)
-    sc, ret, order = F.col("syscall"), F.col("ret"), F.col("line_order")
-    write_evt = in_set(sc, sets["write"]) & (ret > 0)
-    enc_evt = (write_evt & F.col("target_ext")) | (in_set(sc, sets["open"]) & F.col("target_ext"))
-    x = F.col("ts_s") - F.col("first_ts")
-    y = ret.cast("double")
+    ret = F.col("ret")
     return with_wid.groupBy(*keys, "wid", "syscall", "ip").agg(
         F.max("first_ts").alias("first_ts"),
         F.count(F.lit(1)).alias("n"),
@@ -103,6 +99,23 @@ def window_partials(with_wid: DataFrame, keys: Sequence[str],
         F.count_if(F.col("futex_wait")).alias("futex_n"),
         F.count_if(F.col("port") == S.DNS_PORT).alias("dns_n"),
         F.count_if(ret == -1).alias("fail_n"),
+        *_scalar_parts(sets),
+    )
+
+
+def run_partials(with_wid: DataFrame, keys: Sequence[str], sets: Mapping[str, Sequence[str]] = S.SYSCALL_SETS) -> DataFrame:
+    """The pieces of the run-level scalars alone, one row for each run."""
+    return with_wid.groupBy(*keys).agg(F.max("first_ts").alias("first_ts"), F.max("wid").alias("wid"), *_scalar_parts(sets))
+
+
+def _scalar_parts(sets: Mapping[str, Sequence[str]]) -> list[Column]:
+    """OLS sums of the positive writes and the earliest encryption event."""
+    sc, ret, order = F.col("syscall"), F.col("ret"), F.col("line_order")
+    write_evt = in_set(sc, sets["write"]) & (ret > 0)
+    enc_evt = (write_evt & F.col("target_ext")) | (in_set(sc, sets["open"]) & F.col("target_ext"))
+    x = F.col("ts_s") - F.col("first_ts")
+    y = ret.cast("double")
+    return [
         F.count_if(write_evt).alias("w_n"),
         F.sum(F.when(write_evt, x)).alias("w_sx"),
         F.sum(F.when(write_evt, y)).alias("w_sy"),
@@ -112,7 +125,7 @@ def window_partials(with_wid: DataFrame, keys: Sequence[str],
         F.max(F.when(write_evt, x)).alias("w_maxx"),
         F.min(F.when(enc_evt, order)).alias("e_ord"),
         F.min_by(F.col("ts_s"), F.when(enc_evt, order)).alias("e_ts"),
-    )
+    ]
 
 
 def run_scalars(lvl0: DataFrame, keys: Sequence[str],
@@ -380,6 +393,6 @@ def parse_stats(parsed: DataFrame, glob: DataFrame, keys: Sequence[str],
                 window_s: float = S.WINDOW_SECONDS) -> DataFrame:
     """Matched lines and distinct window ids (negative ones included) per run."""
     keys = list(keys)
-    w = window_ids(parsed, glob, keys, window_s)
+    w = with_window_ids(parsed, glob.select(*keys, "first_ts"), keys, window_s)
     return w.groupBy(*keys).agg(F.count(F.lit(1)).alias("parsed_lines"),
                                 F.count_distinct("wid").alias("n_windows"))

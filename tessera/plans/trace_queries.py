@@ -9,6 +9,7 @@ from tessera.functions.scalar import round4
 from tessera.functions.trace import parse_trace_lines
 from tessera.operators import features as FT
 from tessera.sources import tables as TB
+from tessera.storage import materialize
 
 KEYS = ["sample_id"]
 
@@ -50,8 +51,8 @@ def trace_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed lines and distinct windows per run."""
     p = parsed_events(spark, sf_dir)
-    glob = FT.run_globals(p, KEYS, TB.EVENTS_WINDOW_S)
-    return FT.parse_stats(p, glob, KEYS, TB.EVENTS_WINDOW_S)
+    anchor = materialize(FT.run_anchor(p, KEYS), "run-anchor")
+    return FT.parse_stats(p, anchor, KEYS, TB.EVENTS_WINDOW_S)
 
 
 def run_globals(spark: SparkSession, sf_dir: str) -> DataFrame:
