@@ -3,10 +3,15 @@
 A text's words are hashed; a k-mer of ``K`` words is an anchor if the least
 hash of its inner runs of ``S`` words is that of the first or the last run.
 That depends on the k-mer alone, not on its surroundings, so texts that share
-a passage share its anchors wherever it stands. A fingerprint is the sorted
-bottom sketch of a text's distinct anchors: all of them up to ``SKETCH``, else
-the smallest. Likeness is the Jaccard similarity, exact where the sketches
-hold all anchors and estimated from the union's bottom sketch beyond that.
+a passage share its anchors wherever it stands. A fingerprint holds every
+anchor in text order, each with its distance in words from the one before, so
+positions are kept; nothing is capped. The method guarantees an anchor among
+any ``K - S`` adjacent k-mers, so a distance is at most ``K - S``.
+
+Two anchors match if they are equal, stand equally far behind the anchor
+before them, and those are equal too: matches agree in order and position.
+Likeness is the Jaccard similarity of the two texts' anchors under this match,
+repeated ones counted once.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from tessera.llm.common import materialize
 
 K = 5  # words of an anchor
 S = 2  # words of its inner runs
-SKETCH = 128
+HASH = 0xFFFFFFFF  # bits of an anchor's hash; its distance stands above them
 CELLS = 64  # quantiles of the id that place range boundaries
 ROWS_PER_RANGE = 2048
 
@@ -29,9 +34,11 @@ def bind(value: Column, body) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """Distinct anchors of a text, smallest first, at most ``SKETCH``; array<bigint> of 32-bit numbers.
+    """Every anchor of a text in text order; array<bigint> of distance * 2^32 + hash.
 
-    Fewer than ``K`` words are one anchor as a whole; no word gives no anchor.
+    The first one's distance counts from before the first word, so that it is
+    1 or more like all others. A text of some words without any anchor (fewer
+    than ``2 * K - S - 1``) is one anchor as a whole; no word gives none.
     """
     words = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -39,36 +46,46 @@ def anchors(text: Column) -> Column:
     def runs(h: Column) -> Column:  # hashes of S adjacent words
         return F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)]))
 
-    def chosen(h: Column, r: Column) -> Column:
+    def places(h: Column, r: Column) -> Column:
         last = K - S
         edge = lambda i: F.least(F.get(r, i), F.get(r, i + last)) <= F.least(*[F.get(r, i + j) for j in range(1, last)])
-        at = F.filter(F.sequence(F.lit(0), F.size(h) - K), edge)
-        return F.transform(at, lambda i: F.xxhash64(F.get(r, i), F.get(r, i + S), F.get(h, i + K - 1)).bitwiseAND(F.lit(0xFFFFFFFF)))
+        return F.filter(F.sequence(F.lit(0), F.size(h) - K), edge)
+
+    def placed(h: Column, r: Column, at: Column) -> Column:
+        kmer = lambda i: F.xxhash64(F.get(r, i), F.get(r, i + S), F.get(h, i + K - 1)).bitwiseAND(F.lit(HASH))
+        step = lambda i, j: F.shiftleft((i - F.coalesce(F.get(at, j - 1), F.lit(-1))).cast("long"), 32)
+        return F.transform(at, lambda i, j: step(i, j).bitwiseOR(kmer(i)))
 
     def of(h: Column) -> Column:
-        few = F.when(F.size(h) > 0, F.array(F.aggregate(h, F.lit(42).cast("long"), lambda a, b: F.xxhash64(a, b)).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(
-            F.array().cast("array<bigint>"))
-        return F.when(F.size(h) >= K, bind(runs(h), lambda r: chosen(h, r))).otherwise(few)
+        whole = F.aggregate(h, F.lit(42).cast("long"), lambda a, b: F.xxhash64(a, b)).bitwiseAND(F.lit(HASH))
+        whole = F.when(F.size(h) > 0, F.array(F.lit(1 << 32).bitwiseOR(whole))).otherwise(F.array().cast("array<bigint>"))
+        some = bind(runs(h), lambda r: bind(places(h, r), lambda at: F.when(F.size(at) > 0, placed(h, r, at)).otherwise(whole)))
+        return F.when(F.size(h) >= K, some).otherwise(whole)
 
-    return F.slice(F.array_sort(F.array_distinct(bind(hashes, of))), 1, SKETCH)
+    return bind(hashes, of)
 
 
-def shown(sketch: Column) -> Column:
-    """A sketch as text: 8 hexadecimal digits for each anchor."""
-    return F.array_join(F.transform(sketch, lambda a: F.lpad(F.lower(F.hex(a)), 8, "0")), "")
+def shown(found: Column) -> Column:
+    """Anchors as text: 9 hexadecimal digits each, first the distance, then the hash."""
+    return F.lower(F.array_join(F.transform(found, lambda a: F.hex(a)), ""))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sketches; two empty ones are alike, an empty and another one aren't."""
-    def share(union: Column) -> Column:
-        return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
+def steps(found: Column) -> Column:
+    """One number for each anchor: its hash, its distance and the hash of the anchor before it."""
+    return F.transform(found, lambda a, j: F.xxhash64(F.coalesce(F.get(found, j - 1), F.lit(0).cast("long")).bitwiseAND(F.lit(HASH)), a))
+
 
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(bind(union, share)).cast("double")
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two texts' ``steps``; two empty ones are alike, an empty and another one aren't."""
+    share = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(share).cast("double")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and fingerprint (text) of each row; null and empty texts have an empty one. Other columns are ignored."""
+    """``id_col`` and fingerprint (text) of each row; null and empty texts have an empty one.
+
+    Repeated rows and null ids are kept as they are; an empty table gives no rows; other columns are ignored.
+    """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     return docs.select(docs[id_col], shown(anchors(text)).alias("fingerprint"))
 
@@ -131,16 +148,17 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ghost = F.struct(F.col("__above").alias("__range"), F.lit(False).alias("__real"))
     placed = joined.select("__id", "__text", F.explode(F.when(F.col("__above").isNull(), F.array(own)).otherwise(F.array(own, ghost))).alias("__at"))
     placed = placed.select("__at.__range", "__at.__real", "__id", "__text").repartition("__range")
-    sketched = placed.withColumn("__sketch", anchors(F.col("__text")))
+    found = placed.withColumn("__found", anchors(F.col("__text"))).withColumn("__steps", steps(F.col("__found")))
     # in ascending order the next document is the one before
     order = Window.partitionBy("__range").orderBy("__real", F.asc_nulls_first("__id"), "__text")
-    near = sketched.select("*", F.lag("__text").over(order).alias("__next"), F.lag("__sketch").over(order).alias("__next_sketch")).filter("__real")
+    near = found.select("*", F.lag("__text").over(order).alias("__next"), F.lag("__steps").over(order).alias("__next_steps")).filter("__real")
     n = F.char_length("__text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("__text", F.lit(1), n - half), F.substring("__next", F.lit(1), half))
-    near = near.select("__id", n.cast("long").alias("n_chars"), edited.alias("__edited"), "__sketch", "__next_sketch")
-    near = near.withColumn("__edited_sketch", anchors(F.col("__edited")))
+    near = near.select("__id", n.cast("long").alias("n_chars"), edited.alias("__edited"), "__found", "__steps", "__next_steps")
+    near = near.withColumn("__edited_found", anchors(F.col("__edited")))
+    near = near.withColumn("__edited_steps", steps(F.col("__edited_found")))
     return near.select(F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col), "n_chars", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
-                       shown(F.col("__sketch")).alias("fingerprint"), shown(F.col("__edited_sketch")).alias("edited_fingerprint"),
-                       likeness(F.col("__sketch"), F.col("__edited_sketch")).alias("near_edited"),
-                       likeness(F.col("__sketch"), F.col("__next_sketch")).alias("near_next"))
+                       shown(F.col("__found")).alias("fingerprint"), shown(F.col("__edited_found")).alias("edited_fingerprint"),
+                       likeness(F.col("__steps"), F.col("__edited_steps")).alias("near_edited"),
+                       likeness(F.col("__steps"), F.col("__next_steps")).alias("near_next"))

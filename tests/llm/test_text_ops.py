@@ -1,5 +1,6 @@
 """Language ID, extraction, secrets, fingerprints."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -7,6 +8,8 @@ import re
 import string
 from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import html_lines, lang_id, queries, secrets, syncmers
@@ -157,3 +160,70 @@ def test_fingerprint_likeness(docs):
 def test_fingerprint_plan_is_native(docs):
     plan = syncmers.compare_edited(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def naive_anchors(text):
+    """(position, 32-bit hash) of each anchor, by the definition."""
+    def number(x):  # a long's hash reads its eight bytes
+        return x.to_bytes(8, "little")
+
+    def chain(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(number(v), seed=seed)
+        return seed
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in re.split("[ \t\n\x0b\f\r]+", text) if w]
+    out = []
+    for i in range(len(h) - syncmers.K + 1):
+        inner = [chain(h[j:j + syncmers.S]) for j in range(i, i + syncmers.K - syncmers.S + 1)]
+        least = min(map(signed, inner))
+        if least in (signed(inner[0]), signed(inner[-1])):
+            out.append((i, chain([inner[0], chain(h[i + syncmers.S:i + 2 * syncmers.S]), h[i + syncmers.K - 1]]) & syncmers.HASH))
+    if not out and h:
+        out.append((0, functools.reduce(lambda a, b: chain([a, b]), h, 42) & syncmers.HASH))
+    return out
+
+
+def naive_likeness(a, b):
+    """Share of anchors that match with the same anchor as far before them; repeated ones once."""
+    linked = [{(h, i - j, g) for (i, h), (j, g) in zip(t, [(-1, 0), *t])} for t in (a, b)]
+    either = linked[0] | linked[1]
+    return len(linked[0] & linked[1]) / len(either) if either else 1.0
+
+
+def test_fingerprints_by_definition(docs, odd):
+    for df in (docs, odd):
+        rows = {(r["doc_id"], r["text"] or "") for r in df.collect()}
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+        after = {t: n[1] for t, n in zip(order, order[1:] + order[:1])}
+        got = {(r["doc_id"], r["edited_sha256"]): r for r in syncmers.compare_edited(df.dropDuplicates(["doc_id", "text"])).collect()}
+        for i, t in order:
+            n, half = after[i, t], len(t) // 2
+            edited = t[:len(t) - half] + n[:half]
+            r = got[i, hashlib.sha256(edited.encode()).hexdigest()]
+            own, changed, following = map(naive_anchors, (t, edited, n))
+            for shown, want in ((r["fingerprint"], own), (r["edited_fingerprint"], changed)):
+                parts = [(int(shown[k], 16), int(shown[k + 1:k + 9], 16)) for k in range(0, len(shown), 9)]
+                ends = itertools.accumulate(d for d, _ in parts)
+                assert [(p - 1, x) for p, (_, x) in zip(ends, parts)] == want
+            assert r["near_edited"] == pytest.approx(naive_likeness(own, changed), abs=1e-12)
+            assert r["near_next"] == pytest.approx(naive_likeness(own, following), abs=1e-12)
+
+
+def test_fingerprints_keep_place_and_passages(spark):
+    rnd = random.Random(11)
+    passage = " ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(100))
+    filler = [" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(20000)) for _ in range(2)]
+    inside = {h for _, h in naive_anchors(passage)}
+    df = spark.createDataFrame([(1, filler[0] + " " + passage), (2, passage + " " + filler[1])], "doc_id long, text string")
+    shown = [r["fingerprint"] for r in syncmers.fingerprints(df).collect()]
+    found = [{int(s[k + 1:k + 9], 16) for k in range(0, len(s), 9)} for s in shown]
+    assert inside and inside <= found[0] and inside <= found[1]  # a passage shared by long texts is never lost
+    words = passage.split()
+    moved = " ".join(words[50:] + words[:50])
+    pair = spark.createDataFrame([(1, passage), (2, moved)], "doc_id long, text string")
+    a, b = (r["fingerprint"] for r in syncmers.fingerprints(pair).orderBy("doc_id").collect())
+    assert a != b  # same anchors nearly, another order
