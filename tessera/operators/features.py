@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas as S
@@ -260,20 +260,27 @@ def gap_fill(counters: DataFrame, glob: DataFrame, keys: Sequence[str]) -> DataF
     return filled.fillna(fills)
 
 
+STD_SLICE = 1 << 12  # window ids of a slice of the rolling std
+
+
 def rolling_pop_std(dense: DataFrame, keys: Sequence[str], value: str, frame: int = 5,
-                    out: str = "rolling_std") -> DataFrame:
+                    out: str = "rolling_std", width: int = STD_SLICE) -> DataFrame:
     """Population std over the last <= ``frame`` dense rows, including gaps.
 
-    Each row is copied to the frame ends wid..wid+frame-1 (capped at max_wid)
-    and grouped by (run, frame end): no single task holds a whole run.
+    Runs are cut into slices of ``width`` window ids, so that no task holds a
+    whole run. Only a slice's last ``frame - 1`` rows are copied, to the next
+    slice, as the halo in front of its first rows; a frame by window id
+    inside the slice does the rest. ``width`` is at least ``frame - 1``.
     """
     keys = list(keys)
-    copies = dense.select(
-        *keys, F.col(value).cast("double").alias("_v"),
-        F.explode(F.sequence(F.col("wid"),
-                             F.least(F.col("wid") + F.lit(frame - 1), F.col("max_wid"))))
-        .alias("wid"))
-    return copies.groupBy(*keys, "wid").agg(F.stddev_pop("_v").alias(out))
+    own, back = F.floor(F.col("wid") / width).cast("bigint"), frame - 1
+    here = F.struct(own.alias("_slice"), F.lit(True).alias("_own"))
+    ahead = F.struct((own + 1).alias("_slice"), F.lit(False).alias("_own"))
+    at = F.when(F.col("wid") % width >= width - back, F.array(here, ahead)).otherwise(F.array(here))
+    rows = dense.select(*keys, F.col("wid").cast("bigint").alias("wid"), F.col(value).cast("double").alias("_v"), F.explode(at).alias("_at"))
+    rows = rows.select(*keys, "wid", "_v", "_at.*")
+    last = Window.partitionBy(*keys, "_slice").orderBy("wid").rangeBetween(-back, 0)
+    return rows.withColumn(out, F.stddev_pop("_v").over(last)).filter("_own").select(*keys, "wid", out)
 
 
 def entropy_delta(entropy_tl: DataFrame, keys: Sequence[str]) -> DataFrame:

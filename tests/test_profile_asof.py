@@ -117,3 +117,39 @@ def test_profiles_keep_null_groups_and_need_no_group(spark):
     top = {(r.g, r["rank"]): r.value for r in PR.profile_categorical(df, ["g"], ["b"]).collect()}
     assert top[(None, 1)] == "x"
     assert PR.profile_numeric(df, [], ["a"]).first().p50 == 1.0
+
+
+def test_asof_copies_no_left_row_and_loses_none_at_slice_edges(spark):
+    from tessera.operators.joins import asof_first_match_many
+    rng = np.random.default_rng(3)
+    tol = 0.5
+    left_t = np.concatenate([np.arange(0, 40, 0.25), rng.uniform(-20, 20, 200), [None]])
+    right_t = np.concatenate([np.arange(-3, 30, 1.0), rng.uniform(-20, 20, 60)])
+    order = rng.permutation(len(right_t))
+    left = spark.createDataFrame([("r", i, None if t is None else float(t)) for i, t in enumerate(left_t)], "run string, wid long, t double")
+    rows = [("r", float(t), int(o), float(i)) for i, (t, o) in enumerate(zip(right_t, order))]
+    right = spark.createDataFrame([*rows, ("r", None, -1, -1.0), ("other", 0.0, -2, -2.0)], "run string, epoch double, pos long, v double")
+    want = {}
+    for i, t in enumerate(left_t):
+        near = [r for r in rows if t is not None and abs(r[1] - t) < tol]
+        if near:
+            want[i] = (min(near, key=lambda r: r[2])[3],)
+    got = asof_first_match(left, right, ["run"], ["wid"], "t", "epoch", ["v"], "pos", tol)
+    assert {r.wid: (r.v,) for r in got.collect()} == want
+    many = asof_first_match_many(left, [(right, "epoch", "pos", "v")], ["run"], ["wid"], "t", tol)
+    assert {r.wid: (r.v,) for r in many.collect()} == want and many.count() == len(want)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # the timeline's rows only
+
+
+def test_rolling_std_across_slices(spark):
+    from tessera.operators import features as FT
+    rng = np.random.default_rng(4)
+    vals = {("a", w): float(v) for w, v in enumerate(rng.integers(0, 1000, 50))} | {("b", 0): 3.0} | {("c", w): 7.0 for w in range(9)}
+    df = spark.createDataFrame([(k, w, v, 0) for (k, w), v in vals.items()], "run string, wid long, x double, max_wid long")
+    for width in (4, 7, 8, 4096):
+        got = {(r.run, r.wid): r.s for r in FT.rolling_pop_std(df, ["run"], "x", 5, "s", width).collect()}
+        assert got.keys() == vals.keys()
+        for (k, w), s in got.items():
+            assert s == pytest.approx(np.std([vals[k, v] for v in range(max(0, w - 4), w + 1)]), abs=1e-9)
+    assert FT.rolling_pop_std(df.limit(0), ["run"], "x").count() == 0
