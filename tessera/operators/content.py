@@ -8,14 +8,20 @@ per row, needs no shuffle, and Spark partitions it.
 
 from __future__ import annotations
 
+import os
+import re
 from typing import Sequence
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.storage import materialize
+
 
 def _entropy_of(b) -> float:
     if b is None:
@@ -45,6 +51,55 @@ def byte_entropy(content: Column, max_bytes: int | None = None) -> Column:
     return F.when(content.isNull(), F.lit(None).cast("double")).otherwise(e)
 
 
+def _local(path: str) -> str | None:
+    """The local form of a path, ``None`` if it is in another store."""
+    return re.sub("^file:(//(?=/))?", "", path) if path.startswith("file:") or ":/" not in path else None
+
+
+def file_head(path: str, limit: int) -> bytes | None:
+    """The first ``limit`` bytes of a file, ``None`` if it can't be opened or read.
+
+    Local paths and ``file:`` are opened directly, other stores by Arrow's
+    file systems; a kind of store that Arrow doesn't know is an error.
+    """
+    local = _local(path)
+    try:
+        if local is not None:
+            with open(local, "rb") as f:
+                return f.read(limit)
+        store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        with store.open_input_stream(inner) as f:
+            return f.read(limit)
+    except OSError:
+        return None
+
+
+def folder_entries(path: str) -> list[tuple[str, int | None, bool]]:
+    """(path, size, is a folder) of what a folder holds: regular files and folders, links not followed; none if it can't be read."""
+    local = _local(path)
+    try:
+        if local is not None:
+            with os.scandir(local) as entries:
+                kept = [e for e in entries if e.is_dir(follow_symlinks=False) or e.is_file(follow_symlinks=False)]
+                return [(e.path, None, True) if e.is_dir(follow_symlinks=False) else (e.path, e.stat(follow_symlinks=False).st_size, False) for e in kept]
+        store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        base = path.rstrip("/")
+        return [(f"{base}/{i.base_name}", i.size, i.type == fs.FileType.Directory) for i in store.get_file_info(fs.FileSelector(inner))]
+    except OSError:
+        return []
+
+
+def head_entropy(path: Column, limit: int) -> Column:
+    """A33 of the first ``limit`` bytes of the file at ``path``; null for unreadable files and null paths."""
+
+    @F.pandas_udf(T.DoubleType())
+    def of(paths: pd.Series) -> pd.Series:
+        heads = paths.map(lambda p: None if p is None else file_head(p, limit))
+        return heads.map(lambda b: None if b is None else _entropy_of(b)).astype("Float64")
+
+    return of(path)
+
+
 def as_bytes(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
@@ -81,7 +136,49 @@ def exact_duplicates(df: DataFrame, content_col: str, id_col: str,
 
 
 def read_snapshot_files(spark, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Every regular file below ``path`` with its size and content entropy."""
+    """Files below ``path`` with size and whole content entropy; Spark's scan leaves empty files out (``read_snapshot_heads`` keeps them)."""
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
     return raw.select(F.col("path"), F.col("length").alias("size"),
                       byte_entropy(F.col("content"), max_bytes).alias("entropy"))
+
+
+HEAD_BYTES = 64 * 1024  # what the file sampler read of each file
+
+
+def walk(spark, path: str) -> DataFrame:
+    """path and size of every regular file below ``path``, empty ones too; one round of tasks for each level of folders.
+
+    A folder is listed by one task, and each level is written to the shared
+    folder, so no list of files passes through the driver. Links are not
+    followed; a folder that can't be read or isn't there gives no rows.
+    """
+    n, schema = int(spark.conf.get("spark.sql.shuffle.partitions")), "path string, size long, folder boolean"
+
+    def entries(batches):
+        for pdf in batches:
+            for folder in pdf["path"]:
+                found = folder_entries(folder)
+                for at in range(0, len(found), 10000):
+                    part = found[at:at + 10000]
+                    yield pd.DataFrame({"path": [p for p, _, _ in part], "size": pd.array([z for _, z, _ in part], "Int64"), "folder": [f for _, _, f in part]})
+
+    files, folders = None, spark.createDataFrame([(path,)], "path string")
+    while True:
+        level = materialize(folders.repartition(n, "path").mapInPandas(entries, schema), "snapshot-level")
+        here = level.filter(~F.col("folder")).select("path", "size")
+        files = here if files is None else files.unionByName(here)
+        folders = level.filter("folder").select("path")
+        if folders.isEmpty():
+            return files
+
+
+def read_snapshot_heads(spark, path: str, limit: int = HEAD_BYTES) -> DataFrame:
+    """S11 as sampled: every regular file below ``path`` with its true size and the entropy of its first ``limit`` bytes.
+
+    The walk gives names and sizes, dealt out by path, so a file of any size
+    is one small row and a folder with most of the files is read by many
+    tasks. A file that can't be opened or read keeps its row, with a null
+    entropy; an empty one has 0.0; a folder without files gives no rows.
+    """
+    files = walk(spark, path).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return files.select("path", "size", head_entropy(F.col("path"), limit).alias("entropy"))

@@ -174,3 +174,26 @@ def test_anchored_stream_matches_batch(spark, scratch):
     for w in exp:
         for c in FT.COUNTERS:
             assert got[w][c] == exp[w][c], (w, c)
+
+
+def test_snapshot_heads_of_huge_empty_and_unreadable_files(spark, scratch):
+    from tessera.operators.content import file_head, head_entropy, read_snapshot_heads, snapshot_rollup
+    root = os.path.join(scratch, "heads")
+    os.makedirs(os.path.join(root, "a b", "c%20d"))
+    with open(os.path.join(root, "huge"), "wb") as f:  # sparse: 3 GB in size, a few blocks on disk
+        f.write(bytes(range(256)) * 256)
+        f.truncate(3 << 30)
+    open(os.path.join(root, "empty"), "wb").close()
+    with open(os.path.join(root, "a b", "c%20d", "é.bin"), "wb") as f:
+        f.write(b"ab" * 10)
+    got = {os.path.basename(r.path): (r["size"], r.entropy) for r in read_snapshot_heads(spark, root).collect()}
+    assert got == {"huge": (3 << 30, 8.0), "empty": (0, 0.0), "é.bin": (20, 1.0)}
+    assert file_head(os.path.join(root, "gone"), 10) is None and file_head(f"file://{root}/huge", 3) == b"\x00\x01\x02"
+    gone = spark.createDataFrame([(1, "file:" + os.path.join(root, "gone"), 5), (1, os.path.join(root, "huge"), 7), (1, root, 0), (1, None, 0)],
+                                 "snap int, path string, size long")
+    seen = gone.withColumn("entropy", head_entropy(F.col("path"), 65536))
+    assert [r.entropy for r in seen.orderBy("size", "path").collect()] == [None, None, None, 8.0]
+    roll = snapshot_rollup(seen, ["snap"]).first()
+    assert roll.file_count == 4 and roll.mean_entropy == 8.0
+    os.symlink(root, os.path.join(root, "a b", "loop"))
+    assert read_snapshot_heads(spark, root).count() == 3 and read_snapshot_heads(spark, os.path.join(root, "none")).count() == 0
