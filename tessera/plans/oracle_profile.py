@@ -55,10 +55,11 @@ FROM res
 """
 
 
-CATEGORICAL = f"""
-WITH src AS (SELECT CAST(o_orderstatus AS VARCHAR) AS o_orderstatus,
-                    CAST(o_orderpriority AS VARCHAR) AS o_orderpriority FROM orders),
-u AS (SELECT * FROM src UNPIVOT INCLUDE NULLS (value FOR column_name IN (o_orderstatus, o_orderpriority))),
+def _categorical(table: str, cols: list[str]) -> str:
+    casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
+    return f"""
+WITH src AS (SELECT {casts} FROM {table}),
+u AS (SELECT * FROM src UNPIVOT INCLUDE NULLS (value FOR column_name IN ({', '.join(cols)}))),
 vc AS (SELECT column_name, value, count(*) AS n FROM u GROUP BY column_name, value),
 pc AS (SELECT column_name, sum(CASE WHEN value IS NOT NULL THEN n END) AS non_null,
               sum(CASE WHEN value IS NULL THEN n END) AS nulls, count(value) AS cardinality
@@ -66,7 +67,7 @@ pc AS (SELECT column_name, sum(CASE WHEN value IS NOT NULL THEN n END) AS non_nu
 top AS (SELECT column_name, value, n,
                row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value ASC) AS rank
         FROM vc WHERE value IS NOT NULL QUALIFY rank <= {S.PROFILE_TOP_N}),
-nr AS (SELECT count(*) AS rows FROM orders)
+nr AS (SELECT count(*) AS rows FROM {table})
 SELECT pc.column_name, nr.rows, CAST(COALESCE(pc.non_null, 0) AS BIGINT) AS non_null,
   CAST(COALESCE(pc.nulls, 0) AS BIGINT) AS nulls, pc.cardinality,
   CASE WHEN pc.cardinality <= 1 THEN 'CONSTANT'
@@ -75,21 +76,26 @@ SELECT pc.column_name, nr.rows, CAST(COALESCE(pc.non_null, 0) AS BIGINT) AS non_
 FROM pc CROSS JOIN nr LEFT JOIN top USING (column_name)
 """
 
-OVERVIEW = f"""
-WITH d AS (SELECT source, text, lang FROM documents),
-base AS (SELECT source, count(*) AS rows,
-                sum(CAST(text IS NULL AS BIGINT) + CAST(lang IS NULL AS BIGINT)) AS total_nulls
-         FROM d GROUP BY source),
+
+def _overview(cols: list[str], numeric: int) -> str:
+    """Overview of documents by source over ``cols`` (source among them), ``numeric`` of them numbers."""
+    rest = [c for c in cols if c != "source"]
+    nulls = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in rest)
+    n = len(cols)
+    return f"""
+WITH d AS (SELECT {', '.join(cols)} FROM documents),
+base AS (SELECT source, count(*) AS rows, sum({nulls}) AS total_nulls FROM d GROUP BY source),
 dup AS (SELECT source, sum(k - 1) AS duplicate_rows
-        FROM (SELECT source, text, lang, count(*) AS k FROM d GROUP BY source, text, lang) t
+        FROM (SELECT source, {', '.join(rest)}, count(*) AS k FROM d GROUP BY source, {', '.join(rest)}) t
         GROUP BY source)
-SELECT source, rows, CAST(3 AS BIGINT) AS columns, CAST(duplicate_rows AS BIGINT) AS duplicate_rows,
-  {_pct('duplicate_rows', 'rows')} AS duplicate_pct, rows * 3 AS cells,
-  CAST(total_nulls AS BIGINT) AS total_nulls, CAST(0 AS BIGINT) AS numeric_columns,
-  CAST(3 AS BIGINT) AS categorical_columns
+SELECT source, rows, CAST({n} AS BIGINT) AS columns, CAST(duplicate_rows AS BIGINT) AS duplicate_rows,
+  {_pct('duplicate_rows', 'rows')} AS duplicate_pct, rows * {n} AS cells,
+  CAST(total_nulls AS BIGINT) AS total_nulls, CAST({numeric} AS BIGINT) AS numeric_columns,
+  CAST({n - numeric} AS BIGINT) AS categorical_columns
 FROM base JOIN dup USING (source)
 """
 
+
 NULLITY = f"""
 WITH j AS (SELECT d.source, d.lang, l.quality, l.toxic
            FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
@@ -106,7 +112,9 @@ FROM g
 
 ORACLE = {
     "profile_numeric": _numeric(),
-    "profile_categorical": CATEGORICAL,
-    "profile_overview": OVERVIEW,
+    "profile_categorical": _categorical("orders", ["o_orderstatus", "o_orderpriority"]),
+    "profile_categorical_all": _categorical("orders", ["o_orderstatus", "o_orderdate", "o_orderpriority"]),
+    "profile_overview": _overview(["source", "text", "lang"], 0),
+    "profile_overview_all": _overview(["source", "doc_id", "text", "lang", "n_chars"], 2),
     "nullity": NULLITY,
 }

@@ -29,6 +29,16 @@ def profile_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.profile_overview(d, ["source"])
 
 
+def profile_categorical_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D9 + K2 + P13: every categorical column of orders, as its schema tells them."""
+    return PR.profile_categorical(TB.table(spark, sf_dir, "orders"), [])
+
+
+def profile_overview_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 + U4: overview and duplicate rows over all columns of documents, per source."""
+    return PR.profile_overview(TB.table(spark, sf_dir, "documents"), ["source"])
+
+
 def nullity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 + K3: null counts of label columns after a left join, per source."""
     d = TB.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")

@@ -46,6 +46,8 @@ def _queries() -> dict[str, QueryFn]:
         "profile_numeric": profile_queries.profile_numeric,
         "profile_categorical": profile_queries.profile_categorical,
         "profile_overview": profile_queries.profile_overview,
+        "profile_categorical_all": profile_queries.profile_categorical_all,
+        "profile_overview_all": profile_queries.profile_overview_all,
         "nullity": profile_queries.nullity,
         "byte_entropy": quality_queries.byte_entropy,
         "snapshot_rollup": quality_queries.snapshot_rollup,
