@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera import schemas as S
-from tessera.plans.profile_queries import LINEITEM_NUMERIC
+from tessera.plans.profile_queries import LEVEL_KEYS, LEVEL_NUMERIC, LINEITEM_NUMERIC
 
 
 def _sr4(e: str) -> str:
@@ -96,6 +96,28 @@ FROM base JOIN dup USING (source)
 """
 
 
+def _levels() -> str:
+    """Every level from the rows themselves, without any merge."""
+    keys, cols = LEVEL_KEYS, LEVEL_NUMERIC
+    k = ", ".join(keys)
+    same = " AND ".join(f"m.{c} IS NOT DISTINCT FROM r.{c}" for c in keys)
+    rolled = "\nUNION ALL ".join(
+        f"SELECT {d} AS level, {', '.join(c if i < d else f'NULL AS {c}' for i, c in enumerate(keys))}, column_name, value FROM u" for d in range(len(keys), -1, -1))
+    return f"""
+WITH src AS (SELECT {k}, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in cols)} FROM lineitem),
+u AS (SELECT * FROM src UNPIVOT INCLUDE NULLS (value FOR column_name IN ({', '.join(cols)}))),
+r AS ({rolled}),
+m AS (SELECT level, {k}, column_name, count(*) AS rows, count(value) AS non_null, count(*) FILTER (value = 0) AS zeros, count(*) FILTER (value < 0) AS negatives,
+             min(value) AS lo, max(value) AS hi, avg(value) AS mean, stddev_samp(value) AS std FROM r GROUP BY ALL),
+c AS (SELECT r.level, {', '.join(f'r.{c}' for c in keys)}, r.column_name, avg(power(value - mean, 3)) AS m3, avg(power(value - mean, 4)) AS m4
+      FROM r JOIN m ON m.level = r.level AND m.column_name = r.column_name AND {same} GROUP BY ALL)
+SELECT m.level, {', '.join(f'm.{c}' for c in keys)}, m.column_name, rows, non_null, rows - non_null AS nulls, zeros, negatives, {_pct('zeros', 'rows')} AS zero_pct,
+  CAST(zeros AS DOUBLE) / rows > {S.SPARSE_FRACTION} AS highly_sparse, lo AS min, hi AS max, {_sr4('mean')} AS mean, {_sr4('std')} AS std,
+  CASE WHEN non_null >= 3 AND lo < hi THEN {_sr4('m3 / power(std, 3)')} END AS skewness, CASE WHEN non_null >= 4 AND lo < hi THEN {_sr4('m4 / power(std, 4) - 3')} END AS kurtosis
+FROM m JOIN c r ON m.level = r.level AND m.column_name = r.column_name AND {same}
+"""
+
+
 NULLITY = f"""
 WITH j AS (SELECT d.source, d.lang, l.quality, l.toxic
            FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
@@ -117,4 +139,5 @@ ORACLE = {
     "profile_overview": _overview(["source", "text", "lang"], 0),
     "profile_overview_all": _overview(["source", "doc_id", "text", "lang", "n_chars"], 2),
     "nullity": NULLITY,
+    "profile_levels": _levels(),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import profile as PR
+from tessera.operators import profile_states as PS
 from tessera.sources import tables as TB
 
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -45,3 +46,22 @@ def nullity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = TB.table(spark, sf_dir, "labels")
     j = d.join(lab, "doc_id", "left").select("source", "lang", "quality", "toxic")
     return PR.nullity(j, ["source"])
+
+
+LEVEL_KEYS = ["l_returnflag", "l_linestatus", "l_linenumber"]
+LEVEL_NUMERIC = [c for c in LINEITEM_NUMERIC if c not in LEVEL_KEYS]
+
+
+def profile_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2-D5, D7, D8 + S9: counts, extremes and moments of lineitem at four levels, the upper ones merged from the states below."""
+    li = TB.table(spark, sf_dir, "lineitem")
+    states = PS.all_levels(PS.numeric_states(li, LEVEL_KEYS, LEVEL_NUMERIC, sketches=False), LEVEL_KEYS, PS.merge_numeric)
+    return PS.numeric_moments(states, ["level", *LEVEL_KEYS])
+
+
+def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One collected report over all columns of orders by status, then priority: sketched percentiles, distinct counts and top values."""
+    o, keys = TB.table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"]
+    num = PS.numeric_report(PS.all_levels(PS.numeric_states(o, keys), keys, PS.merge_numeric), ["level", *keys])
+    text = PS.text_report(PS.all_levels(PS.text_states(o, keys), keys, PS.merge_text), ["level", *keys])
+    return num.unionByName(text, allowMissingColumns=True)

@@ -49,6 +49,8 @@ def _queries() -> dict[str, QueryFn]:
         "profile_categorical_all": profile_queries.profile_categorical_all,
         "profile_overview_all": profile_queries.profile_overview_all,
         "nullity": profile_queries.nullity,
+        "profile_levels": profile_queries.profile_levels,
+        "profile_report": profile_queries.profile_report,
         "byte_entropy": quality_queries.byte_entropy,
         "snapshot_rollup": quality_queries.snapshot_rollup,
         "fingerprint_dupes": quality_queries.fingerprint_dupes,
