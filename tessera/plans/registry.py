@@ -74,6 +74,7 @@ def _queries() -> dict[str, QueryFn]:
         # iterative model fits: rows-only check (no SQL oracle)
         "tree_importance": forest_queries.tree_importance,
         "forest_cv": forest_queries.forest_cv,
+        "leave_one_run_out": forest_queries.leave_one_run_out,
         "svm_grid": svm_queries.svm_grid,
         "svm_classes": svm_queries.svm_classes,
         "rff_svm_folds": svm_queries.rff_svm_folds,
