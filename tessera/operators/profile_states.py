@@ -47,7 +47,7 @@ def numeric_states(df: DataFrame, keys: Sequence[str], cols: Sequence[str] | Non
 
     Moments and sketches are two map-side-combined aggregates over the rows,
     joined by group: sketches keep an aggregate out of generated code, and
-    together they took twice the time of both apart.
+    together they took 1.7 times as long as both apart (16.4 s, 9.7 s).
     """
     keys = list(keys)
     cols = [c for c in (split_columns(df, keys)[0] if cols is None else cols) if c not in keys]
