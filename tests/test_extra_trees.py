@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import extra_trees as ET
 
@@ -144,3 +145,53 @@ def test_edges(spark):
     same = spark.createDataFrame([(1.0, i % 2) for i in range(6)], "a double, y int")  # nothing varies
     (root,) = ET.grow(ET.training_table(same, ["a"], "y"), 1, 2, [ET.Forest(1, 1)]).collect()
     assert root.feature == -1 and list(root.counts) == [3, 3]
+
+
+def _wide_rows(spark, n=600, d=5):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, d)).round(2)
+    y = rng.integers(0, 3, n)
+    cols = [f"f{i}" for i in range(d)]
+    return spark.createDataFrame([(*map(float, v), int(c), int(i % 3)) for i, (v, c) in enumerate(zip(x, y))], ", ".join(f"{c} double" for c in cols) + ", y int, fold int"), cols
+
+
+def test_nodes_handed_over_give_the_same_trees_and_stay_off_the_driver(spark):
+    df, cols = _wide_rows(spark)
+    tab = ET.training_table(df, cols, "y", "fold")
+    forests = [ET.Forest(3, 2), ET.Forest(2, 5, held_out=1, max_depth=11, min_split=4)]
+    counts = ET.class_counts(tab, 3, forests)
+    weights = [ET.balanced(c) for c in counts]
+    above, made = [], ET._node_batch
+    ET._node_batch = lambda rows: above.append(len(rows["node"])) or made(rows)
+    try:
+        levels = ET.materialize(ET.grow_levels(tab, 5, 3, forests, weights, counts, block_bytes=60 * 7 * 8), "test-levels")
+    finally:
+        ET._node_batch = made
+    key = lambda r: (r.forest, r.tree, r.path)
+    whole = {key(r): r for r in ET.grow(tab, 5, 3, forests).collect()}
+    rows = levels.collect()
+    assert sum(above) < len(rows) / 4
+    assert {key(r) for r in rows} == set(whole) and len(rows) == len(whole)
+    place = {(r.forest, r.tree, r.node): r.path for r in rows}
+    for r in rows:
+        w = whole[key(r)]
+        assert (r.feature, r.cut if r.feature >= 0 else None, r.depth, r.counts, r.gain) == (w.feature, w.cut if w.feature >= 0 else None, w.depth, w.counts, w.gain)
+        if r.feature >= 0:
+            assert place[r.forest, r.tree, r.left_node] == r.path + "0" and place[r.forest, r.tree, r.right_node] == r.path + "1"
+    for i in range(2):
+        for t in range(forests[i].trees):
+            own = sorted(n for f, u, n in place if (f, u) == (i, t))
+            assert own == list(range(len(own))) and place[i, t, 0] == ""
+
+
+def test_votes_of_large_forests_are_shuffled(spark):
+    df, cols = _wide_rows(spark)
+    tab = ET.training_table(df, cols, "y")
+    forest = [ET.Forest(5, 2)]
+    weights = ET.balanced(ET.class_counts(tab, 3, forest)[0])
+    nodes = ET.grow(tab, 5, 3, forest)
+    odd = df.unionAll(df.limit(7)).withColumn("y", F.lit(None).cast("int"))
+    a = ET.predict(odd, nodes, cols, weights)
+    b = ET.predict(odd, nodes, cols, weights, node_bytes=0)
+    assert a.columns == b.columns and a.dtypes == b.dtypes
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and a.count() == 607
