@@ -131,10 +131,7 @@ def fit_sides(table: DataFrame, d: int, classes: int, held_out: Sequence[int | N
                         key = np.where(weight > 1e-12, -np.log(u[use]) / weight, np.inf)
                     if i in best:
                         key, own = np.append(best[i][0], key), np.concatenate([best[i][1], own])
-                    # equal vectors are one landmark
-                    _, first = np.unique(own, axis=0, return_index=True)
-                    first = first[np.lexsort((first, key[first]))][:per_round]
-                    first = first[np.isfinite(key[first])]
+                    first = _first_distinct(key, own, per_round)
                     best[i] = key[first], own[first]
             rows = [(i, k, v.tolist()) for i, (keys, vecs) in best.items() for k, v in zip(keys.tolist(), vecs)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.float64()),
@@ -154,6 +151,19 @@ def fit_sides(table: DataFrame, d: int, classes: int, held_out: Sequence[int | N
     return sides
 
 
+def _first_distinct(key: np.ndarray, rows: np.ndarray, n: int) -> list[int]:
+    """The ``n`` rows with the smallest finite keys; equal vectors are one landmark."""
+    seen, first = set(), []
+    for i in np.argsort(key, kind="stable").tolist():
+        if len(first) == n or not np.isfinite(key[i]):
+            break
+        vector = (rows[i] + 0.0).tobytes()  # -0.0 is 0.0
+        if vector not in seen:
+            seen.add(vector)
+            first.append(i)
+    return first
+
+
 def gamma_value(gamma: float | str, side: _Side, d: int) -> float:
     """A number, 1 / d ('auto') or 1 / (d Var) of the scaled training rows ('scale')."""
     return 1.0 / d if gamma == "auto" else 1.0 / (d * side.variance) if gamma == "scale" else float(gamma)
@@ -167,8 +177,14 @@ def whitening(landmarks: np.ndarray, gamma: float) -> np.ndarray:
 
 def kernel_features(x: np.ndarray, side: _Side, gamma: float, white: np.ndarray) -> np.ndarray:
     """z(x) and a constant for the bias."""
-    z = np.exp(-gamma * _square_distance(side.scaled(x), side.landmarks)) @ white
-    return np.concatenate([z, np.ones((len(x), 1))], axis=1)
+    return _features_at(_square_distance(side.scaled(x), side.landmarks), gamma, white)
+
+
+def _features_at(distance: np.ndarray, gamma: float, white: np.ndarray) -> np.ndarray:
+    z = np.empty((len(distance), white.shape[1] + 1))
+    np.matmul(np.exp(-gamma * distance), white, out=z[:, :-1])
+    z[:, -1] = 1.0
+    return z
 
 
 class LandmarkSVM:
@@ -190,42 +206,51 @@ class LandmarkSVM:
             return np.where(counts > 0, counts.sum() / ((counts > 0).sum() * np.maximum(counts, 1)), 0.0)
 
     def fit(self, table: DataFrame, steps: int = STEPS) -> LandmarkSVM:
-        """Newton steps over all columns at once, halved where the loss rose; ends early when no column moves."""
+        """Newton steps over all columns that still move, halved where the loss rose."""
         spark, key = table.sparkSession, {}
         for i in self.weights:
             for j in range(len(self.pairs)):
                 key[len(key)] = (i, j)
         name = {v: k for k, v in key.items()}
         best: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}  # loss, weights, step
+        live = set(key)
         for _ in range(steps):
-            held = spark.sparkContext.broadcast(self)
+            held = spark.sparkContext.broadcast((self, {i: [j for j in range(len(self.pairs)) if name[i, j] in live] for i in self.weights}))
 
             def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-                model, sums = held.value, {}
+                (model, moving), sums = held.value, {}
                 for _, x, fold, y in _batches(batches, model.d):
+                    distance = {}  # of a side's rows to its landmarks, for all its gammas
                     for (h, gamma), own in model.kernels.items():
                         use = slice(None) if h is None else fold != h
                         label = y[use]
-                        if not len(label):
+                        if not len(label) or not any(moving[i] for i in own):
                             continue
-                        z = kernel_features(x[use], model.sides[h], gamma, model.white[h, gamma])
+                        if h not in distance:
+                            distance[h] = _square_distance(model.sides[h].scaled(x[use]), model.sides[h].landmarks)
+                        z = _features_at(distance[h], gamma, model.white[h, gamma])
                         for i in own:
                             weight = model._class_weight(i) * model.problems[i].c
-                            for j, (a, b) in enumerate(model.pairs):
+                            for j in moving[i]:
+                                a, b = model.pairs[j]
                                 pair = (label == a) | (label == b)
-                                zp, sign = z[pair], np.where(label[pair] == b, 1.0, -1.0)
+                                whole = bool(pair.all())
+                                zp, lp = (z, label) if whole else (z[pair], label[pair])
+                                sign = np.where(lp == b, 1.0, -1.0)
                                 short = 1.0 - sign * (zp @ model.weights[i][j])
                                 on = short > 0
-                                w, za = weight[label[pair][on]], zp[on]
+                                w, za = weight[lp[on]], zp[on]
                                 loss, grad = (w * short[on] ** 2).sum(), -2 * (w * short[on] * sign[on]) @ za
-                                hess = 2 * (za * w[:, None]).T @ za
+                                za *= np.sqrt(2 * w)[:, None]
+                                hess = za.T @ za  # one matrix twice: half the products
                                 part = np.concatenate([[loss], grad, hess[np.triu_indices(len(grad))]])
                                 k = name[i, j]
                                 sums[k] = sums[k] + part if k in sums else part
                 yield _emit(sums)
 
-            moved = 0.0
-            for k, part in _added(table, "", run).items():
+            got = _added(table, "", run)
+            live &= set(got)  # columns without rows stay at zero
+            for k, part in got.items():
                 i, j = key[k]
                 w = self.weights[i][j]
                 n = len(w)
@@ -236,7 +261,8 @@ class LandmarkSVM:
                     step = step / 2
                     best[k] = (best[k][0], start, step)
                     self.weights[i][j] = start + step
-                    moved = max(moved, float(np.abs(step).max()))
+                    if np.abs(step).max() < 1e-8:
+                        live.discard(k)
                     continue
                 hess = np.zeros((n, n))
                 hess[np.triu_indices(n)] = part[n + 1:]
@@ -244,9 +270,10 @@ class LandmarkSVM:
                 step = -np.linalg.solve(hess, grad)
                 best[k] = (loss, w.copy(), step)
                 self.weights[i][j] = w + step
-                moved = max(moved, float(np.abs(step).max() / (1.0 + np.abs(w).max())))
+                if np.abs(step).max() / (1.0 + np.abs(w).max()) < 1e-8:
+                    live.discard(k)
             held.unpersist()
-            if moved < 1e-8:
+            if not live:
                 break
         return self
 

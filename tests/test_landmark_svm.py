@@ -104,3 +104,41 @@ def test_sigmoid(spark):
     a, b = LS.fit_sigmoid(far, "s", "y", 40)
     assert math.isfinite(a) and math.isfinite(b) and a < 0
     assert LS.fit_sigmoid(far.filter("y = 1"), "s", "y") == (0.0, math.log(1 / 21))
+
+
+def test_race_takes_each_vector_once_without_sorting_rows(monkeypatch):
+    from tessera.operators import landmark_svm as LS
+    key = np.array([0.5, 0.1, 0.1, np.inf, 0.3, 0.2])
+    rows = np.array([[5.0, 0], [1, 0], [1, -0.0], [9, 9], [3, 0], [2, 0]])
+    assert LS._first_distinct(key, rows, 3) == [1, 5, 4]
+    assert LS._first_distinct(key, rows, 9) == [1, 5, 4, 0]
+
+
+def test_columns_that_have_settled_are_not_summed_again(spark):
+    """Newton passes add up only columns that still move, and distances are made once for all gammas of a side."""
+    from tessera.operators import extra_trees as ET
+    from tessera.operators import landmark_svm as LS
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(*map(float, v), int(v[0] + 0.3 * v[1] > 0), int(i % 3)) for i, v in enumerate(x)], "a double, b double, c double, y int, fold int")
+    tab = ET.training_table(df, ["a", "b", "c"], "y", "fold")
+    problems = [LS.Problem(c, g, f) for c in (0.01, 100.0) for g in ("scale", 0.1) for f in range(3)]
+    sizes, added = [], LS._added
+    LS._added = lambda *a: (lambda got: sizes.append(len(got)) or got)(added(*a))
+    try:
+        model = LS.LandmarkSVM(3, 2, problems, LS.fit_sides(tab, 3, 2, range(3), 16)).fit(tab, 40)
+    finally:
+        LS._added = added
+    assert sizes[1] == len(problems) and sizes[-1] < len(problems)
+    # the gradient of every column is zero
+    rows = tab.toArrow()
+    z0 = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(-1, 3)
+    y, fold = rows.column("label").to_numpy(), rows.column("fold").to_numpy()
+    for i, p in enumerate(problems):
+        use = fold != p.held_out
+        gamma = LS.gamma_value(p.gamma, model.sides[p.held_out], 3)
+        z = LS.kernel_features(z0[use], model.sides[p.held_out], gamma, model.white[p.held_out, gamma])
+        w, sign = model.weights[i][0], np.where(y[use] == 1, 1.0, -1.0)
+        short = np.maximum(1 - sign * (z @ w), 0) * model._class_weight(i)[y[use]] * p.c
+        grad = -2 * (short * sign) @ z + np.append(np.ones(len(w) - 1), 1e-6) * w
+        assert np.abs(grad).max() < 1e-5 * (1 + p.c * 300)
