@@ -195,3 +195,60 @@ def test_votes_of_large_forests_are_shuffled(spark):
     b = ET.predict(odd, nodes, cols, weights, node_bytes=0)
     assert a.columns == b.columns and a.dtypes == b.dtypes
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and a.count() == 607
+
+
+def test_draws_are_the_plain_remainders():
+    rng = np.random.default_rng(8)
+    for k1, k2 in rng.integers(1, ET.PRIME, (200, 2)).tolist() + [[ET.PRIME - 1, ET.PRIME - 1], [0, 1]]:
+        for j in (0, 143, ET.CHILD + 3):
+            x = (k1 + (j + 1) * k2) % ET.PRIME
+            for _ in range(3):
+                x = (x * 48271 + 11) % ET.PRIME
+                x = (x * x + k1) % ET.PRIME
+            assert ET.draw(k1, k2, j) == x == ET.draw(np.array([k1]), np.array([k2]), j)[0]
+
+
+@pytest.mark.parametrize("k", [2, 7])
+def test_trees_grown_together_are_the_same_trees(data, k):
+    x, y, fold = data
+    x = x.copy()
+    x[::9, 4] = np.nan  # a node with such a value isn't split by this feature
+    train = fold != 2
+    places = ET.Places.of(x)
+    assert places.at.itemsize == 2
+    weights = np.array(ET.balanced(np.bincount(y[train], minlength=3)))
+    forest = ET.Forest(5, k, seed=9)
+    learn, asked = (ET.Places(places.at[use], places.values) for use in (train, ~train))
+    numbers = np.arange(3, 8)
+    trees = ET._grow(learn, y[train], 3, weights, forest, *ET.root_keys(9, numbers))
+    leaf = ET._leaves(asked, trees, len(numbers)).reshape(len(numbers), -1)
+    shares = ET._shares(trees["counts"], weights)
+    for i, number in enumerate(numbers.tolist()):
+        nodes = ET.grow_tree(x[train], y[train], 3, weights, forest, number)
+        own = {path: (int(f), None if f < 0 else c, list(n)) for path, f, c, n in zip(nodes["path"], nodes["feature"], nodes["cut"], nodes["counts"])}
+        close(own, plain_tree(x[train], y[train], 3, weights, k, 9, number))
+        for read in ((2, None), (2, 3), (25, None), (25, 3), (2, 0)):
+            want = ET._votes(ET._arrays(nodes), weights, x[~train], *read)
+            assert np.array_equal(shares[ET._read_to(trees, *read)[leaf[i]]], want), read
+
+
+def test_places_of_many_values():
+    rng = np.random.default_rng(2)
+    x = np.stack([rng.permutation(70_000) / 7, np.repeat([-np.inf, -0.0, 0.0, np.inf], 17_500)], axis=1)
+    p = ET.Places.of(x)
+    assert p.at.dtype == np.uint32 and [len(v) for v in p.values] == [70_000, 3]
+    feature, cut = np.array([[0], [1]]), np.array([[-1.0, 5.0, np.nan], [-np.inf, 0.0, 3.5]])
+    want = [[(np.unique(x[:, f]) <= c).sum() for c in cut[f]] for f in (0, 1)]
+    assert p.below(feature, cut).tolist() == want == p.below(np.repeat(feature, 3, axis=1), cut).tolist()
+
+
+def test_grid_shuffles_one_row_for_each_task_and_held_out_row(spark, table, monkeypatch):
+    tab, _, _ = table
+    points = [ET.Point(t, depth, s, 2) for t in (2, 5) for depth in (None, 3) for s in (2, 25)]
+    seen, plain = [], type(tab).mapInArrow
+    monkeypatch.setattr(type(tab), "mapInArrow", lambda df, *a, **b: seen.append(plain(df, *a, **b)) or seen[-1])
+    got = ET.grid_accuracy(tab, 7, 3, points, [0, 1])
+    rows = {r.fold: r["count"] for r in tab.groupBy("fold").count().collect()}
+    assert {(r.point, r.fold): r.n for r in got.collect()} == {(i, f): rows[f] for i in range(len(points)) for f in (0, 1)}
+    most = max(1, -(-4 * spark.sparkContext.defaultParallelism // 2))
+    assert seen[0].count() <= most * (rows[0] + rows[1])
